@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import SimpleNamespace
 
-MODULES = ("leak_queries", "span_queries")
+MODULES = ("leak_queries", "span_queries", "form_queries")
 
 registry = SimpleNamespace(queries={}, oracles={})
 for _name in MODULES:
