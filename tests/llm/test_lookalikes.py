@@ -14,6 +14,7 @@ from docan.llm import lookalikes as k
         ("K­l​ä᠎ger", "Kläger", (0, 0, 3, 0, 0)),
         ("the сertifіed copy", "the certified copy", (0, 0, 0, 1, 0)),
         ("a b‑c d ﬁle", "a b-c d file", (4, 0, 0, 0, 0)),
+        ("za\ufeffb", "zab", (0, 0, 1, 0, 0)),
         ("он сказал: да", "он сказал: да", (0, 0, 0, 0, 0)),
         ("法院审查了，信件。", "法院审查了，信件。", (0, 0, 0, 0, 0)),
         ("Арендaтор", "Арендатор", (0, 0, 0, 1, 0)),
