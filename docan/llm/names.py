@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,6 +64,9 @@ TRADES = (
 PLACEHOLDERS = frozenset("unknown|see cover sheet|as above|illegible|n/a|na|none|tbd|to be determined|not stated|not available|anonymous|redacted|same as above|ditto|various|xxx|unbekannt|inconnu|desconocido|see above|no name|not applicable".split("|"))
 NOT_NAMES = frozenset("see as above not the of cover sheet page unknown illegible none same".split())
 
+#: Symbols beyond which a code is blocked by its halves.
+LONG_CODE = 24
+
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*\.?")
 _OCR = str.maketrans("015", "ols")
 
@@ -298,15 +302,29 @@ def compare_firms(a: tuple[str, str, str, bool], b: tuple[str, str, str, bool])
     return STRONG if trades and (a[2] == b[2] or not a[2] or not b[2]) else NO
 
 
+def near_codes(code: str) -> set[str]:
+    """Forms of a code of which two codes one edit apart share at least one.
+
+    The code and its forms with one symbol less; for long codes the halves, one of which an edit spares.
+    """
+    if len(code) <= LONG_CODE:
+        return {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))}
+    out = set()
+    for h in {len(code) // 2, (len(code) - 1) // 2}:
+        out |= {"<" + blake2b(code[:h].encode(), digest_size=12).hexdigest(), ">" + blake2b(code[-h:].encode(), digest_size=12).hexdigest()}
+    return out
+
+
 def keys(kind: str, name: tuple[str, str, str, bool]) -> list[str]:
     """Blocking keys of a parsed value."""
     code = sound(name[0])
+    near = near_codes(code)
     if kind != "PERSON":
         trade = fold(name[1])[:4]  # firms of different trades are never one
-        return sorted({f"{kind}|{trade}|{c}" for c in (code, *(code[:i] + code[i + 1 :] for i in range(len(code))))})
+        return sorted({f"{kind}|{trade}|{c}" for c in near})
     known = _given_set(name[1])
     initials = {n[0] for n in known} if known and not name[3] else {name[1][0]}
-    out = {f"{i}|{c}" for i in initials for c in (code, *(code[:k] + code[k + 1 :] for k in range(len(code))))}
+    out = {f"{i}|{c}" for i in initials for c in near}
     if not name[3]:
         out |= {f"*|{code}|{sound(g)[1:]}" for g in (known or {name[1]})}
         out |= {f"*|{code}|{sound(name[1])[1:]}"}
