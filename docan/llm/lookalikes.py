@@ -20,6 +20,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -139,6 +140,10 @@ def _class(chars: set[str]) -> str:
     return "".join(parts)
 
 
+# characters of which a text alone has nothing to be made consistent: ASCII, joint letters and signs of
+# Latin-1 that are no variants, common punctuation, Chinese
+_SAFE = "".join(chr(c) for c in range(0xA1, 0x100) if unicodedata.normalize("NFKC", chr(c)) == chr(c) and c != 0xAD) + "‘’“”„–—•€、。，"
+_ANYTHING = re.compile(f"[^\x00-\x7f{re.escape(_SAFE)}\u4e00-\u9fff]")
 _VARIANT = regex.compile(f"[{_class(set(PLAIN))}]")
 _UNSEEN = regex.compile(f"[{_class(UNSEEN)}]")
 _APART = regex.compile(r"[^\p{M}]\p{M}+")
@@ -182,7 +187,7 @@ def _mixed(token: str) -> bool:
 
 def normalise(text: str | None) -> tuple[str | None, int, int, int, int, int]:
     """Consistent form and the counts of variants, accents apart, invisible characters, mixed words and whole-script confusables."""
-    if not text or text.isascii():
+    if not text or text.isascii() or not _ANYTHING.search(text):
         return text, 0, 0, 0, 0, 0
     unseen = len(_UNSEEN.findall(text))
     if unseen:
