@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docan.llm.scans import Reader, run, running_headers, vocabulary
+from docan.llm.scans import Reader, neighbours, run, running_headers, vocabulary
 from docan.plans.registry import Registry
 from docan.sources.tables import table
 
@@ -15,10 +15,12 @@ registry = Registry()
 def _texts(spark: SparkSession, sf_dir: str, repaired: bool) -> DataFrame:
     docs = table(spark, sf_dir, "retrieval_documents", "document_id", "text")
     pages = table(spark, sf_dir, "bundle_pages", "page_id", "document_id", "text")
-    reader = Reader(vocabulary(docs, "text"))
-    whole = run(docs.select(F.col("document_id").alias("key"), "text", F.lit(None).cast("array<string>").alias("headers")), reader, "string", repaired, True)
+    words = vocabulary(docs, "text")
+    reader = Reader(words)
+    pairs = neighbours(docs, "text", words) if repaired else None
+    whole = run(docs.select(F.col("document_id").alias("key"), "text", F.lit(None).cast("array<string>").alias("headers")), reader, "string", repaired, True, pairs)
     headed = pages.join(running_headers(pages, "document_id", "page_id", "text"), pages["document_id"] == F.col("doc"), "left")
-    each = run(headed.select(F.col("page_id").alias("key"), "text", "headers"), reader, "string", repaired, False)
+    each = run(headed.select(F.col("page_id").alias("key"), "text", "headers"), reader, "string", repaired, False, pairs)
     name = lambda df, t: df.select(F.lit(t).alias("record_table"), F.col("key").alias("record_key"), df.columns[1])
     return name(whole, "retrieval_documents").unionByName(name(each, "bundle_pages"))
 

@@ -398,6 +398,33 @@ def vocabulary(texts: DataFrame, column: str, min_count: int = MIN_COUNT, min_sh
     return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
 
 
+def neighbours(texts: DataFrame, column: str, words: Mapping[str, int], min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> dict[tuple[str, str], int]:
+    """Counts of pairs of neighbouring vocabulary words, as far as they have the share a word needs."""
+    known = frozenset(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[tuple[str, str]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            a, b = [k[0] for k in total], [k[1] for k in total]
+            out = pa.RecordBatch.from_arrays([pa.array(a, type=pa.string()), pa.array(b, type=pa.string()), pa.array(list(total.values()), type=pa.int64())], names=["a", "b", "n"])
+            total.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    run = _PLAIN.findall(join_broken(text)[0].lower())
+                    total.update(p for p in zip(run, run[1:]) if p[0] in known and p[1] in known)
+            if len(total) > 500_000:
+                yield flush()
+        yield flush()
+
+    counts = texts.select(F.col(column).cast("string")).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    least = max(min_count, int(min_share * sum(words.values())))
+    return {(r["a"], r["b"]): r["n"] for r in counts.filter(F.col("n") >= least).collect()}
+
+
 def running_headers(pages: DataFrame, doc: str, page: str, column: str) -> DataFrame:
     """(doc, headers): keys of the title lines that stand at the edge of two pages or more of a document."""
     rows = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(column).cast("string").alias("text")).filter("doc is not null and text <> ''")
@@ -417,14 +444,14 @@ def running_headers(pages: DataFrame, doc: str, page: str, column: str) -> DataF
     return twice.groupBy("doc").agg(F.collect_set("key").alias("headers"))
 
 
-def run(rows: DataFrame, reader: Reader, key_type: str, repaired: bool, whole: bool) -> DataFrame:
-    """(key, kinds) or, where ``repaired``, (key, text) of rows (key, text, headers)."""
+def run(rows: DataFrame, reader: Reader, key_type: str, repaired: bool, whole: bool, pairs: Mapping[tuple[str, str], int] | None = None) -> DataFrame:
+    """(key, kinds) or, where ``repaired``, (key, text) of rows (key, text, headers); ``pairs`` are counts of neighbouring words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, headers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             if repaired:
-                second = pa.array([repair(t, reader, None, set(h or ()), whole) for t, h in zip(texts, headers)], type=pa.string())
+                second = pa.array([repair(t, reader, pairs, set(h or ()), whole) for t, h in zip(texts, headers)], type=pa.string())
             else:
                 second = pa.array([noise(t, reader, set(h or ()), whole) for t, h in zip(texts, headers)], type=pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), second], names=["key", "text" if repaired else "kinds"])

@@ -82,3 +82,5 @@ def test_frames(spark):
     counts = s.vocabulary(spark.createDataFrame([("the clerk the",), ("The turn-\ned",), (None,)], "t string"), "t", 1, 0.0)
     assert counts == {"the": 3, "clerk": 1, "turned": 1}
     assert s.vocabulary(pages.limit(0), "body") == {}
+    texts = spark.createDataFrame([("The clerk the clerk turn-\ned",), (None,)], "t string")
+    assert s.neighbours(texts, "t", {"the": 2, "clerk": 2, "turned": 1}, 1, 0.0) == {("the", "clerk"): 2, ("clerk", "the"): 1, ("clerk", "turned"): 1}
