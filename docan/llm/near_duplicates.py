@@ -37,7 +37,7 @@ from docan.session import checkpoint
 
 SHINGLE_WORDS = 5
 THRESHOLD = Fraction(4, 5)
-BITS = 512
+BITS = 1024
 
 _U = np.uint64
 
