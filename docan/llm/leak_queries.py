@@ -11,12 +11,19 @@ from docan.sources.tables import table
 
 registry = Registry()
 
+_FOUND_SQL = """
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS passage FROM i WHERE len(w) >= 12),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS passage FROM d WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM g JOIN p USING (passage)"""
+
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
 
 
-@registry.query("p9_found")
+@registry.query("p9_found", _FOUND_SQL)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_matches(spark, sf_dir)).select("doc_id", "item_id")
 
