@@ -179,8 +179,12 @@ def _in_two(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select(*key)
 
 
+#: Kinds and offsets go into the window's hash and the position's number, so that fewer columns are moved.
+_KIND_STEP, _SHIFT_STEP = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
 def _exact(texts: DataFrame, open_anchors: DataFrame, size: int) -> DataFrame:
-    """(id, pos, anchor, offset, window) for every offset of the cores that ``open_anchors`` names."""
+    """(id, place, anchor, window) for every offset of the cores that ``open_anchors`` names; place is pos * w + offset."""
     w = size - size // 4
     wanted = open_anchors.groupBy("id").agg(F.collect_list(F.struct("pos", "anchor", "core")).alias("at"))
     if open_anchors.select("id").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -202,11 +206,11 @@ def _exact(texts: DataFrame, open_anchors: DataFrame, size: int) -> DataFrame:
                 row, _ = np.nonzero(ok)
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(row), type=batch.schema.field(0).type), pa.array(pos[row]), pa.array(anchor[row]), pa.array(offset[ok]), pa.array(hashes.at(start[ok], size).view(np.int64))],
-                        names=["id", "pos", "anchor", "shift", "window"],
+                        [pa.array([doc] * len(row), type=batch.schema.field(0).type), pa.array(pos[row] * w + offset[ok]), pa.array(anchor[row]), pa.array((hashes.at(start[ok], size) + offset[ok].astype(_U) * _U(_SHIFT_STEP)).view(np.int64))],
+                        names=["id", "place", "anchor", "window"],
                     )
 
-    return joined.mapInArrow(extend, f"id {kind}, pos long, anchor long, shift long, window long")
+    return joined.mapInArrow(extend, f"id {kind}, place long, anchor long, window long")
 
 
 def stretches(records: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -214,12 +218,14 @@ def stretches(records: DataFrame, id_column: str = "doc_id", text_column: str =
     texts = records.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= min_chars))
     every = checkpoint(anchors(texts, min_chars))
     cores = [c for c in every.columns if c.startswith("core")]
-    seeds = every.join(_in_two(every, "anchor"), "anchor", "left_semi")
+    seeds = checkpoint(every.join(_in_two(every, "anchor"), "anchor", "left_semi"))
     # one row per anchor and key: kind 0 and 1 are the extreme offsets, 2.. the cores
     kinds = ["low", "high", *cores]
-    pairs = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("window")) for i, c in enumerate(kinds)))
-    keyed = checkpoint(seeds.select("id", "pos", "anchor", F.explode(pairs).alias("k")).select("id", "pos", "anchor", "k.kind", "k.window").filter("window is not null").distinct())
-    held = keyed.join(_in_two(keyed, "anchor", "kind", "window"), ["anchor", "kind", "window"], "left_semi")
+    mixed = lambda i, c: F.when(F.col(c).isNotNull(), F.col(c).bitwiseXOR(F.lit((i * _KIND_STEP) & 0x7FFFFFFFFFFFFFFF)))
+    pairs = F.array(*(F.struct((F.col("pos") * len(kinds) + i).alias("place"), mixed(i, c).alias("window")) for i, c in enumerate(kinds)))
+    keyed = seeds.select("id", "anchor", F.inline(pairs)).filter("window is not null")
+    held = keyed.join(_in_two(keyed, "anchor", "window"), ["anchor", "window"], "left_semi")
+    held = held.select("id", "anchor", F.expr(f"place div {len(kinds)}").alias("pos"), (F.col("place") % len(kinds)).cast("int").alias("kind"))
     state = held.groupBy("id", "pos", "anchor").agg(F.max((F.col("kind") == 0).cast("int")).alias("low"), F.max((F.col("kind") == 1).cast("int")).alias("high"), F.collect_set("kind").alias("kinds"))
     state = checkpoint(state)
     w = min_chars - min_chars // 4
@@ -227,7 +233,8 @@ def stretches(records: DataFrame, id_column: str = "doc_id", text_column: str =
     open_anchors = state.filter("low = 0 or high = 0").select("id", "pos", "anchor", F.explode(F.filter("kinds", lambda x: x >= 2)).alias("kind")).select("id", "pos", "anchor", (F.col("kind") - 2).cast("long").alias("core"))
     fine = checkpoint(_exact(texts, open_anchors, min_chars))
     part = (
-        fine.join(_in_two(fine, "anchor", "shift", "window"), ["anchor", "shift", "window"], "left_semi")
+        fine.join(_in_two(fine, "anchor", "window"), ["anchor", "window"], "left_semi")
+        .select("id", F.expr(f"place div {w}").alias("pos"), (F.col("place") % w).alias("shift"))
         .groupBy("id", "pos")
         .agg(F.max("shift").alias("far"), F.min("shift").alias("near"))
         .select("id", (F.col("pos") - F.col("far")).alias("begin"), (F.col("pos") - F.col("near") + min_chars).alias("end"))
