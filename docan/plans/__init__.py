@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("orphan_queries", "analytics_queries", "extraction_queries", "linking_queries", "rollup_queries", "stream_queries")
+MODULES = ("orphan_queries", "analytics_queries", "extraction_queries", "linking_queries", "rollup_queries", "stream_queries", "layout_queries")
 
 
 def collect(kind: str) -> dict:
