@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from docan.session import checkpoint
 
 MIN_CHARS = 400
-#: Offsets that share one core.
-STEP = 100
+#: Offsets that share one core, and those of the second level.
+STEP, FINE = 100, 10
 #: Characters hashed at once; longer texts are cut into pieces that overlap by ``min_chars``.
 CHUNK = 1_000_000
 #: Ids up to this many (8 bytes each) may be broadcast to pick the texts to extend in.
@@ -184,7 +184,10 @@ _KIND_STEP, _SHIFT_STEP = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
 def _exact(texts: DataFrame, open_anchors: DataFrame, size: int) -> DataFrame:
-    """(id, place, anchor, window) for every offset of the cores that ``open_anchors`` names; place is pos * w + offset."""
+    """(id, place, anchor, core, windows) for every ``FINE`` offsets of the cores that ``open_anchors`` names.
+
+    place is pos * w + the first offset, core the hash common to the windows of those offsets.
+    """
     w = size - size // 4
     wanted = open_anchors.groupBy("id").agg(F.collect_list(F.struct("pos", "anchor", "core")).alias("at"))
     if open_anchors.select("id").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -197,20 +200,26 @@ def _exact(texts: DataFrame, open_anchors: DataFrame, size: int) -> DataFrame:
             for doc, text, at in zip(*(c.to_pylist() for c in batch.columns)):
                 codes = codes_of(text)
                 hashes = _Hashes(codes, _BASE_B)
-                pos = np.array([a["pos"] for a in at])
-                anchor = np.array([a["anchor"] for a in at])
-                core = np.array([a["core"] for a in at])
-                offset = core[:, None] * STEP + np.arange(STEP)
+                first = np.arange(0, STEP, FINE)
+                pos = np.repeat([a["pos"] for a in at], len(first))
+                anchor = np.repeat([a["anchor"] for a in at], len(first))
+                base = np.repeat([a["core"] for a in at], len(first)) * STEP + np.tile(first, len(at))
+                offset = base[:, None] + np.arange(FINE)
                 start = pos[:, None] - offset
-                ok = (start >= 0) & (start + size <= len(codes)) & (offset < w)
-                row, _ = np.nonzero(ok)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(row), type=batch.schema.field(0).type), pa.array(pos[row] * w + offset[ok]), pa.array(anchor[row]), pa.array((hashes.at(start[ok], size) + offset[ok].astype(_U) * _U(_SHIFT_STEP)).view(np.int64))],
-                        names=["id", "place", "anchor", "window"],
-                    )
-
-    return joined.mapInArrow(extend, f"id {kind}, place long, anchor long, window long")
+                ok = (start >= 0) & (start + size <= len(codes)) & (offset < w) & (offset < (base // STEP * STEP + STEP)[:, None])
+                some = ok.any(axis=1)
+                if not some.any():
+                    continue
+                pos, anchor, base, offset, start, ok = pos[some], anchor[some], base[some], offset[some], start[some], ok[some]
+                core = hashes.at(pos - base, size - FINE + 1) + base.astype(_U) * _U(_SHIFT_STEP)
+                window = hashes.at(np.where(ok, start, 0), size) + offset.astype(_U) * _U(_SHIFT_STEP)
+                flat = pa.array(window.view(np.int64).ravel(), mask=~ok.ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * len(pos), type=batch.schema.field(0).type), pa.array(pos * w + base), pa.array(anchor), pa.array(core.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, FINE), type=pa.int32()), flat)],
+                    names=["id", "place", "anchor", "core", "windows"],
+                )
+
+    return joined.mapInArrow(extend, f"id {kind}, place long, anchor long, core long, windows array<long>")
 
 
 def stretches(records: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -231,7 +240,10 @@ def stretches(records: DataFrame, id_column: str = "doc_id", text_column: str =
     w = min_chars - min_chars // 4
     whole = state.filter("low = 1 and high = 1").select("id", (F.col("pos") - (w - 1)).alias("begin"), (F.col("pos") + min_chars).alias("end"))
     open_anchors = state.filter("low = 0 or high = 0").select("id", "pos", "anchor", F.explode(F.filter("kinds", lambda x: x >= 2)).alias("kind")).select("id", "pos", "anchor", (F.col("kind") - 2).cast("long").alias("core"))
-    fine = checkpoint(_exact(texts, open_anchors, min_chars))
+    coarse = checkpoint(_exact(texts, open_anchors, min_chars))
+    # of the offsets with a common core, those whose core agrees are looked at one by one
+    kept = checkpoint(coarse.join(_in_two(coarse, "anchor", "core"), ["anchor", "core"], "left_semi").select("id", "place", "anchor", "windows"))
+    fine = kept.select("id", "anchor", "place", F.posexplode("windows").alias("i", "window")).filter("window is not null").select("id", (F.col("place") + F.col("i")).alias("place"), "anchor", "window")
     part = (
         fine.join(_in_two(fine, "anchor", "window"), ["anchor", "window"], "left_semi")
         .select("id", F.expr(f"place div {w}").alias("pos"), (F.col("place") % w).alias("shift"))
