@@ -225,9 +225,10 @@ def _exact(texts: DataFrame, open_anchors: DataFrame, size: int) -> DataFrame:
 def stretches(records: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, begin, end): parts of each record that lie in stretches shared with another record."""
     texts = records.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= min_chars))
-    every = checkpoint(anchors(texts, min_chars))
+    every = anchors(texts, min_chars)  # made twice: reading the texts again moves less than keeping all anchors
     cores = [c for c in every.columns if c.startswith("core")]
-    seeds = checkpoint(every.join(_in_two(every, "anchor"), "anchor", "left_semi"))
+    shared = checkpoint(_in_two(every.select("id", "anchor"), "anchor"))
+    seeds = checkpoint(every.join(shared, "anchor", "left_semi"))
     # one row per anchor and key: kind 0 and 1 are the extreme offsets, 2.. the cores
     kinds = ["low", "high", *cores]
     mixed = lambda i, c: F.when(F.col(c).isNotNull(), F.col(c).bitwiseXOR(F.lit((i * _KIND_STEP) & 0x7FFFFFFFFFFFFFFF)))
