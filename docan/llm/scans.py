@@ -42,6 +42,8 @@ _MARKS = "-¬­‐"
 _BROKEN = re.compile(rf"[{_MARKS}][ \t]*\n[ \t]*(?=[^\W\d_])")
 _BROKEN_PAGE = re.compile(rf"([{_MARKS}])[ \t]*\n\s*\n[ \t]*(?=[a-zà-ÿ])")
 _BREAK_END = re.compile(rf"[^\W\d_][{_MARKS}][ \t]*$")
+_HALF_LAST = re.compile(rf"[^{_MARKS}\s]*[{_MARKS}]$")
+_HALF_FIRST = re.compile(r"^\s*[a-zà-ÿ]+(?![\w@~])")
 _TOKEN = re.compile(r"[^\s.,;:!?()\[\]\"“”«»/<>]+")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _NOISY = re.compile(r"(?=[^\s]*[^\W\d_])[^\W_~@]?[^\W_]*[\d@~][\w@~]*")
@@ -333,6 +335,8 @@ def noise(text: str | None, reader: Reader, headers: set[str] | None = None, who
         kinds.append("header")
     if broken:
         kinds.append("hyphen")
+    if not whole:  # halves of words broken at the page's ends are no words
+        joined = _HALF_FIRST.sub("", _HALF_LAST.sub("", joined.rstrip()))
     if reader.any_misread(joined):
         kinds.append("misread")
     if is_number:

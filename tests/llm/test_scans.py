@@ -60,6 +60,11 @@ def test_kinds(reader):
     assert s.noise("the clerk\nEarly Order - Court Letter   p. 7\n\nturned the\nEarly Order - Court Letter   p. 8", reader) == ["header", "pageno"]
 
 
+def test_halves_at_page_ends_are_no_misread_words(reader):
+    assert s.noise("tter of the court and the let-", reader, set(), False) == ["hyphen"]
+    assert s.noise("c0urt order and the house", reader, set(), False) == ["misread"]
+
+
 def test_repair(reader):
     doc = "\n\n".join([page("EARLY COURT ORDER", "The clerk tumed the let-\nter be-", "- 1 -"), page("EARLY COURT ORDER", "cause the court.\n\nThe furn@ce.", "- 2 -")])
     assert s.repair(doc, reader) == "The clerk turned the letter because the court.\n\nThe furnace."
