@@ -5,9 +5,9 @@ lines that recur, not always letter for letter, at the edges of pages of one doc
 is body; words broken at line and page ends are joined, and the joined text is read for misread words.
 
 A misread word is looked for in the vocabulary by intersecting the word's Levenshtein automaton (one
-edit) with a trie of the vocabulary, of which those are taken that differ in letters scanners read for each other; both are folded first, so that letter groups which scanners read
-for each other (``rn``/``m``, ``cl``/``d``, ``ii``/``u``, ``ri``/``n``) and digits and signs read for
-letters are no edit at all. Candidates are complete within that distance; they are ranked by the kind
+edit) with a trie of the vocabulary, of which those are taken that differ in letters scanners read for each other. Digits and signs read for
+letters are folded in both, and the search takes letter groups which scanners read for each other
+(``rn``/``m``, ``cl``/``d``, ``ii``/``u``, ``ri``/``n``) as groups and as letters, so that both are no edit at all, a sign inside a group neither. Candidates are complete within that distance; they are ranked by the kind
 of edit, by the words around them and by frequency. The vocabulary is made of the words of all texts that have
 at least a given share of all words, which bounds its size by the inverse of that share.
 
@@ -60,6 +60,10 @@ EDGE, LONG_LINE = 2, 120
 
 _GROUPS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("ri", "n"), ("vv", "w"))
 _SIGNS = str.maketrans("i1|0596@", "lllosgga")
+# the groups as they are once signs are letters: c1, ci and cl are one group
+_LETTER_OF = {group.translate(_SIGNS): letter for group, letter in _GROUPS}
+_GROUP_OF = {letter: group for group, letter in _LETTER_OF.items()}
+_LETTERS = tuple(((group[0], group[1]), letter) for group, letter in _LETTER_OF.items())
 # Letters that scanners read for each other.
 _PAIRS = frozenset(frozenset(p) for p in "ce hb tf tl fl co eo un uv nu hn ao ae rn il ij lj gq oq ec bh kh sz vy ft".split())
 
@@ -95,11 +99,8 @@ def title(line: str) -> bool:
 
 @lru_cache(maxsize=500_000)
 def fold(word: str) -> str:
-    """Word with letter groups and signs that are read for each other made one."""
-    s = word.lower()
-    for a, b in _GROUPS:
-        s = s.replace(a, b)
-    return s.translate(_SIGNS)
+    """Word with signs that are read for letters made letters; the trie's search reads the groups."""
+    return word.lower().translate(_SIGNS)
 
 
 def header_keys(line: str) -> list[str]:
@@ -111,7 +112,10 @@ def header_keys(line: str) -> list[str]:
 
 
 class Trie:
-    """Vocabulary by folded spelling, searched with a word's Levenshtein automaton."""
+    """Vocabulary by folded spelling, searched with a word's Levenshtein automaton.
+
+    A group of two letters stands for its letter, in the word as in the trie, wherever the search comes upon it.
+    """
 
     def __init__(self, words: Mapping[str, int]) -> None:
         self.root: dict = {}
@@ -122,33 +126,54 @@ class Trie:
             node.setdefault("", []).append(word)
 
     @staticmethod
-    def _follow(node: dict, word: str, i: int) -> list[str]:
-        for c in word[i:]:
-            node = node.get(c)
-            if node is None:
-                return []
-        return node.get("", [])
+    def _follow(node: dict | None, word: str, groups: list[str | None], i: int) -> list[str]:
+        """Words below a node that read as the rest of ``word``; ``groups`` has the letter of the group that begins at each place."""
+        found, n = [], len(word)
+        branches = [(node, i)]
+        while branches:
+            node, i = branches.pop()
+            while node is not None:
+                if i == n:
+                    found += node.get("", [])
+                    break
+                c = word[i]
+                if groups[i] is not None and groups[i] in node:
+                    branches.append((node[groups[i]], i + 2))
+                if c in _GROUP_OF:
+                    first, second = _GROUP_OF[c]
+                    if first in node and second in node[first]:
+                        branches.append((node[first][second], i + 1))
+                node = node.get(c)
+                i += 1
+        return found
 
     def near(self, word: str) -> list[tuple[str, str, str]]:
         """(candidate, letter of the word, letter of the candidate) of all folded words within one edit."""
         found = []
-        node, n = self.root, len(word)
-        for i in range(n + 1):
-            rest = word[i] if i < n else ""
-            if i < n:
-                found += [(w, rest, "") for w in self._follow(node, word, i + 1)]
-            for c, child in node.items():
-                if c == "":
-                    continue
-                if i < n and c != rest:
-                    found += [(w, rest, c) for w in self._follow(child, word, i + 1)]
-                found += [(w, "", c) for w in self._follow(child, word, i)]
+        n = len(word)
+        groups = [_LETTER_OF.get(word[i : i + 2]) for i in range(n)]
+        places = [(self.root, 0)]
+        for node, i in places:  # grows: all places that are reached without an edit
+            heads = [(word[i], i + 1)] if i < n else []
+            if i < n and groups[i] is not None:
+                heads.append((groups[i], i + 2))
+            below = [(c, child) for c, child in node.items() if c != ""]
+            below += [(c, node[a][b]) for (a, b), c in _LETTERS if a in node and b in node[a]]
+            for a, j in heads:
+                found += [(w, a, "") for w in self._follow(node, word, groups, j)]
+                if a in node:
+                    places.append((node[a], j))
+            for c, child in below:
+                found += [(w, "", c) for w in self._follow(child, word, groups, i)]
+                for a, j in heads:
+                    if a != c:
+                        found += [(w, a, c) for w in self._follow(child, word, groups, j)]
+            if i < n and word[i] in _GROUP_OF:
+                a, b = _GROUP_OF[word[i]]
+                if a in node and b in node[a]:
+                    places.append((node[a][b], i + 1))
             if i == n:
                 found += [(w, "", "") for w in node.get("", [])]
-                break
-            node = node.get(rest)
-            if node is None:
-                break
         return found
 
 
@@ -183,7 +208,7 @@ class Reader:
                 need = max(need, RATIO_KNOWN if len(word) > 3 else 4 * RATIO_KNOWN)
             if n >= need * max(count, 1):
                 ranked.append((kind, -n, cand))
-        return tuple(c for _, _, c in sorted(set(ranked)))
+        return tuple(dict.fromkeys(c for _, _, c in sorted(ranked)))  # by its best kind each
 
     def misread(self, token: str) -> tuple[str, ...]:
         """Candidates of a body token; empty where it is right or nothing is near."""

@@ -29,6 +29,34 @@ def test_candidates_are_complete():
         assert {w for w, _, _ in trie.near(query)} == {w for w in words if levenshtein(s.fold(w), query) <= 1}
 
 
+def group_readings(word):
+    """Every reading of a word whose signs are letters, by taking any of its groups for their letters."""
+    if not word:
+        return {""}
+    out = {word[0] + r for r in group_readings(word[1:])}
+    return out | {letter + r for group, letter in (("rn", "m"), ("cl", "d"), ("ll", "u"), ("rl", "n"), ("vv", "w")) if word.startswith(group) for r in group_readings(word[2:])}
+
+
+def test_candidates_are_complete_under_groups():
+    words = ["".join(p) for n in (1, 2, 3, 4) for p in product("cldi", repeat=n)]
+    trie = s.Trie({w: 1 for w in words})
+    forms = {w: group_readings(s.fold(w)) for w in words}
+    for query in ["cl", "d", "c1", "cil", "dcl", "clcl", "il1"]:
+        own = group_readings(s.fold(query))
+        least = {w: min(levenshtein(a, b) for a in forms[w] for b in own) for w in words}
+        found = trie.near(s.fold(query))
+        assert {w for w, n in least.items() if n <= 1} <= {w for w, _, _ in found}
+        assert {w for w, a, b in found if not a and not b} >= {w for w, n in least.items() if n == 0}
+
+
+SIGN_COUNTS = {w: 400 for w in "clerk disclosed private tribunal claim close arrived spring during house".split()}
+
+
+@pytest.mark.parametrize("token,right", [("c1erk", "clerk"), ("disc1osed", "disclosed"), ("prlvate", "private"), ("tr1bunal", "tribunal"), ("c1aim", "claim"), ("arrlved", "arrived"), ("arnved", "arrived"), ("sprlng", "spring"), ("hoi1se", "house"), ("derk", "clerk")])
+def test_signs_misread_inside_groups(token, right):
+    assert s.Reader(SIGN_COUNTS).misread(token)[:1] == (right,)
+
+
 @pytest.mark.parametrize("token,right", [("tumed", "turned"), ("derk", "clerk"), ("fumace", "furnace"), ("furn@ce", "furnace"), ("wntten", "written"), ("lette~", "letter"), ("bcfore", "before"), ("c0urt", "court"), ("attacbed", "attached"), ("hoiise", "house")])
 def test_misread(reader, token, right):
     assert reader.misread(token)[:1] == (right,)
