@@ -234,7 +234,7 @@ def parse_firm(text: str | None) -> tuple[str, str, str, bool] | None:
             legal = LEGAL[low]
             continue
         own = fold(raw)
-        match = _trade(own, raw.endswith("."))
+        match = _trade(own, low if raw.endswith(".") else "")
         if match and not trade:
             trade = match
         else:
@@ -245,11 +245,12 @@ def parse_firm(text: str | None) -> tuple[str, str, str, bool] | None:
 
 
 @lru_cache(maxsize=100_000)
-def _trade(own: str, cut: bool) -> str:
+def _trade(own: str, cut: str) -> str:
+    """Trade of a folded word; ``cut``: its letters as written, where it ends in a full stop."""
     if own in _TRADES:
         return _TRADES[own]
     if cut and len(own) >= 3:
-        fits = [t for f, t in _TRADES.items() if f.startswith(own)]
+        fits = [t for t in TRADES if t.startswith(cut)] or [t for f, t in _TRADES.items() if f.startswith(own)]
         return fits[0] if len(fits) == 1 else (own + "." if fits else "")
     if len(own) >= 5:
         for f, t in _TRADES.items():
@@ -267,8 +268,10 @@ STRONG, FITS, FITS_WELL, CONFLICT, NO = 3, 1, 2, -1, 0
 
 
 def weak(kind: str, name: tuple[str, str, str, bool]) -> bool:
-    """Whether a value may mean several entities."""
-    return kind == "PERSON" and (name[3] or len(_given_set(name[1])) > 1)
+    """Whether a value may mean several entities: initials, nicknames of several names, cut words of several trades."""
+    if kind != "PERSON":
+        return name[1].endswith(".")
+    return name[3] or len(_given_set(name[1])) > 1
 
 
 def compare_persons(a: tuple[str, str, str, bool], b: tuple[str, str, str, bool]) -> int:
@@ -295,10 +298,22 @@ def _near_given(a: str, b: str) -> bool:
     return alike(a, b, 0.85)
 
 
+def _stem(trade: str) -> str:
+    """A trade, or what is left of it where it is cut, as it is folded."""
+    return trade[:-1] if trade.endswith(".") else fold(trade)
+
+
+def _trade_keys(trade: str) -> set[str]:
+    """First letters of a trade, folded; of all trades it fits where it is cut."""
+    if trade.endswith("."):
+        return {f[:4] for f in _TRADES if f.startswith(_stem(trade))}
+    return {fold(trade)[:4]}
+
+
 def compare_firms(a: tuple[str, str, str, bool], b: tuple[str, str, str, bool]) -> int:
     if not alike(a[0], b[0]):
         return NO
-    trades = a[1] == b[1] or (a[1].endswith(".") and b[1].startswith(a[1][:-1])) or (b[1].endswith(".") and a[1].startswith(b[1][:-1]))
+    trades = a[1] == b[1] or (a[1].endswith(".") and _stem(b[1]).startswith(_stem(a[1]))) or (b[1].endswith(".") and _stem(a[1]).startswith(_stem(b[1])))
     return STRONG if trades and (a[2] == b[2] or not a[2] or not b[2]) else NO
 
 
@@ -320,8 +335,7 @@ def keys(kind: str, name: tuple[str, str, str, bool]) -> list[str]:
     code = sound(name[0])
     near = near_codes(code)
     if kind != "PERSON":
-        trade = fold(name[1])[:4]  # firms of different trades are never one
-        return sorted({f"{kind}|{trade}|{c}" for c in near})
+        return sorted({f"{kind}|{t}|{c}" for t in _trade_keys(name[1]) for c in near})  # firms of different trades are never one
     known = _given_set(name[1])
     initials = {n[0] for n in known} if known and not name[3] else {name[1][0]}
     out = {f"{i}|{c}" for i in initials for c in near}

@@ -38,3 +38,29 @@ def test_entities(spark):
 def test_initials_alone_and_empty(spark):
     assert link(spark, [("PERSON", "A. Norvikessen"), ("PERSON", "Norvikessen, A.")]) == {("PERSON", "A. Norvikessen", "Norvikessen, A.")}
     assert link(spark, []) == set()
+
+
+def test_cut_trades_of_several_words_meet_their_full_spellings(spark):
+    brew = ("Gurverragini Brew. Inc.", "Gurverragini Brewing Incorporated", "Brewing Gurverragini Inc")
+    ship = ("Dufkibmuser Ship. Ltd", "Dufkibmuser Shipyards Limited", "Dufkibmuser Shi. Ltd")
+    road = ("Vapkevrir Tra. GmbH", "Vapkevrir Trading GmbH")
+    rail = ("Kofgasteher Tra. GmbH", "Kofgasteher Transport GmbH")
+    assert link(spark, [("ORG", x) for x in brew + ship + road + rail]) == group("ORG", *brew) | group("ORG", *ship) | group("ORG", *road) | group("ORG", *rail)
+
+
+@pytest.mark.parametrize("cut,full", [("Brew.", "Brewing"), ("Brew.", "Breweries"), ("Tra.", "Trading"), ("Tra.", "Transport"), ("Ship.", "Shipping"), ("Shi.", "Shipyards")])
+def test_cut_trades_fit(cut, full):
+    a, b = n.parse_firm(f"Vapkevrir {cut} Ltd"), n.parse_firm(f"Vapkevrir {full} Limited")
+    assert a[1].endswith(".") and n.compare_firms(a, b) == n.compare_firms(b, a) == n.STRONG
+    assert set(n.keys("ORG", a)) & set(n.keys("ORG", b))
+
+
+@pytest.mark.parametrize("cut,trade", [("Phar.", "pharmaceuticals"), ("Wine.", "wines"), ("Vine.", "vineyards"), ("Loc.", "locksmiths"), ("Far.", "farms")])
+def test_cut_trades_as_written(cut, trade):
+    assert n.parse_firm(f"Vapkevrir {cut} Ltd")[1] == trade
+
+
+def test_a_cut_trade_that_fits_two_firms_joins_none(spark):
+    full = ("Vapkevrir Brewing Ltd", "Vapkevrir Breweries Ltd")
+    assert link(spark, [("ORG", x) for x in full + ("Vapkevrir Brew. Ltd",)]) == set()
+    assert link(spark, [("ORG", x) for x in full[:1] + ("Vapkevrir Brew. Ltd", "Brewing Vapkevrir Ltd")]) == group("ORG", full[0], "Vapkevrir Brew. Ltd", "Brewing Vapkevrir Ltd")
