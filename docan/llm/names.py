@@ -322,11 +322,12 @@ def near_codes(code: str) -> set[str]:
 
     The code and its forms with one symbol less; for long codes the halves, one of which an edit spares.
     """
-    if len(code) <= LONG_CODE:
-        return {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))}
     out = set()
-    for h in {len(code) // 2, (len(code) - 1) // 2}:
-        out |= {"<" + blake2b(code[:h].encode(), digest_size=12).hexdigest(), ">" + blake2b(code[-h:].encode(), digest_size=12).hexdigest()}
+    if len(code) <= LONG_CODE:
+        out |= {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))}
+    if len(code) >= LONG_CODE:  # at the limit both, as an edit may cross it
+        for h in {len(code) // 2, (len(code) - 1) // 2}:
+            out |= {"<" + blake2b(code[:h].encode(), digest_size=12).hexdigest(), ">" + blake2b(code[-h:].encode(), digest_size=12).hexdigest()}
     return out
 
 

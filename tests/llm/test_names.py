@@ -64,3 +64,18 @@ def test_a_cut_trade_that_fits_two_firms_joins_none(spark):
     full = ("Vapkevrir Brewing Ltd", "Vapkevrir Breweries Ltd")
     assert link(spark, [("ORG", x) for x in full + ("Vapkevrir Brew. Ltd",)]) == set()
     assert link(spark, [("ORG", x) for x in full[:1] + ("Vapkevrir Brew. Ltd", "Brewing Vapkevrir Ltd")]) == group("ORG", full[0], "Vapkevrir Brew. Ltd", "Brewing Vapkevrir Ltd")
+
+
+@pytest.mark.parametrize("size", [2, 3, 22, 23, 24, 25, 26, 27])
+def test_codes_one_edit_apart_share_a_form(size):
+    code = ("bkltmnprsfv" * 3)[:size]
+    edited = {code[:i] + "x" + code[i:] for i in range(size + 1)} | {code[:i] + code[i + 1 :] for i in range(size)} | {code[:i] + "x" + code[i + 1 :] for i in range(size)}
+    edited |= {code[:i] + code[i + 1] + code[i] + code[i + 2 :] for i in range(size - 1)}
+    assert all(n.near_codes(code) & n.near_codes(e) for e in edited)
+
+
+def test_long_firm_names_across_the_limit(spark):
+    long = "Bnfml" * 5
+    a, b = n.parse_firm(long[:-1] + " Ltd"), n.parse_firm(long + " Ltd")
+    assert len(n.sound(a[0])) == n.LONG_CODE and len(n.sound(b[0])) == n.LONG_CODE + 1
+    assert set(n.keys("ORG", a)) & set(n.keys("ORG", b))
