@@ -81,3 +81,8 @@ def test_frame(spark):
     rows = p.masked(df, ["key"], "text", KEY).collect()
     assert sorted((r["key"] or "", len(r["types"])) for r in rows) == [("", 0), ("a", 1), ("a", 1), ("b", 0), ("c", 1)]
     assert p.masked(df.limit(0), ["key"], "text").count() == 0
+
+
+@pytest.mark.parametrize("text", ["at 12 Oak Ln", "at 45 Elm St", "at 45 Elm St (rear)", "at 45 Elm St and", "at 7 Elm Ct", "at 3, allée Ragfuh", "at 3, allée de la Ragfuh, Getsin", "at Calle Nukrag 117", "at C/ Nukrag 117", "at Falrirallee 3", "at Falrirstr. 3"])
+def test_short_street_words(text):
+    assert p.mask(text, KEY)[1] == ["ADDRESS"]
