@@ -86,3 +86,8 @@ def test_frame(spark):
 @pytest.mark.parametrize("text", ["at 12 Oak Ln", "at 45 Elm St", "at 45 Elm St (rear)", "at 45 Elm St and", "at 7 Elm Ct", "at 3, allée Ragfuh", "at 3, allée de la Ragfuh, Getsin", "at Calle Nukrag 117", "at C/ Nukrag 117", "at Falrirallee 3", "at Falrirstr. 3"])
 def test_short_street_words(text):
     assert p.mask(text, KEY)[1] == ["ADDRESS"]
+
+
+@pytest.mark.parametrize("text,types", [("the letter of Bob Kofgasteher was late", ["NAME"]), ("it was sent, with Al Kofgasteher, to us", ["NAME"]), ("and Jack B. von Kofgasteher came", ["NAME"]), ("the new Bill Exhibit", []), ("the Jack Textiles Ltd", []), ("Will Counsel be there", []), ("We asked. Mark Every page", []), ("THE WILL KOFGASTEHER", []), ("the Letter of A-31\nSans autre explication", [])])
+def test_given_names_that_are_words(text, types):
+    assert p.mask(text, KEY)[1] == types
