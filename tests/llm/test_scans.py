@@ -89,8 +89,10 @@ def test_kinds(reader):
 
 
 def test_halves_at_page_ends_are_no_misread_words(reader):
-    assert s.noise("tter of the court and the let-", reader, set(), False) == ["hyphen"]
-    assert s.noise("c0urt order and the house", reader, set(), False) == ["misread"]
+    assert s.noise("tter of the court and the let-", reader, set(), False, True) == ["hyphen"]
+    assert s.noise("tbe of the court", reader, set(), False, True) == []
+    assert s.noise("tbe house was old", reader, set(), False) == ["misread"]
+    assert s.noise("c0urt order and the house", reader, set(), False, True) == ["misread"]
 
 
 def test_repair(reader):
@@ -102,18 +104,65 @@ def test_repair(reader):
 def test_context_ranks_candidates():
     reader = s.Reader({"house": 500, "mouse": 500, "hause": 500, "the": 900})
     assert len(reader.misread("h~use")) == 2
-    pairs = {("the", "hause"): 5}
-    assert s.repair("the h~use", reader, pairs) == "the hause"
+    assert s.repair("the h~use", reader) == "the hause"  # a tie: the first by code point
+    assert s.repair("the h~use", reader, {("h~use", "the", ""): "house"}) == "the house"
 
 
 def test_frames(spark):
     rows = [("p1", "d", page("EARLY COURT ORDER", "the clerk", "1")), ("p2", "d", page("EARLY COURT 0RDER", "turn-", "2")), ("p2", "d", page("EARLY COURT 0RDER", "turn-", "2")), ("p3", "e", page("EARLY COURT ORDER", "the", None)), ("p4", None, page("EARLY COURT ORDER", "the", None)), ("p5", "e", None), (None, "e", "")]
     pages = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "page string, doc_name string, body string, doc int")
     headed = pages.withColumnRenamed("doc", "other").join(s.running_headers(pages, "doc_name", "page", "body"), pages["doc_name"] == s.F.col("doc"), "left")
-    got = s.run(headed.select(s.F.col("page").alias("key"), s.F.col("body").alias("text"), "headers"), s.Reader(COUNTS), "string", False, False).collect()
-    assert {(r["key"], tuple(r["kinds"])) for r in got} == {("p1", ("header", "pageno")), ("p2", ("header", "hyphen", "pageno")), ("p3", ()), ("p4", ()), ("p5", ()), (None, ())}
-    counts = s.vocabulary(spark.createDataFrame([("the clerk the",), ("The turn-\ned",), (None,)], "t string"), "t", 1, 0.0)
-    assert counts == {"the": 3, "clerk": 1, "turned": 1}
-    assert s.vocabulary(pages.limit(0), "body") == {}
+    surveyed = s.surveyed(headed.select(s.F.col("page").alias("key"), s.F.col("doc_name").alias("doc"), "page", s.F.col("body").alias("text"), "headers"), frozenset(), False)
+    assert {(r["key"], tuple(r["kinds"])) for r in surveyed.collect()} == {("p1", ("header", "pageno")), ("p2", ("header", "hyphen", "pageno")), ("p3", ()), ("p4", ()), ("p5", ()), (None, ())}
+    counts = s.word_counts(spark.createDataFrame([("the clerk the",), ("The turn-\ned",), (None,)], "t string"), "t")
+    assert {tuple(r) for r in counts.collect()} == {("the", 3), ("clerk", 1), ("turned", 1)}
+    assert s.word_counts(pages.limit(0), "body").count() == 0
     texts = spark.createDataFrame([("The clerk the clerk turn-\ned",), (None,)], "t string")
-    assert s.neighbours(texts, "t", {"the": 2, "clerk": 2, "turned": 1}, 1, 0.0) == {("the", "clerk"): 2, ("clerk", "the"): 1, ("clerk", "turned"): 1}
+    wanted = spark.createDataFrame([("the", "clerk"), ("clerk", "turned"), ("clerk", "none")], "a string, b string")
+    assert {tuple(r) for r in s.neighbours(texts, "t", wanted).collect()} == {("the", "clerk", 2), ("clerk", "turned", 1)}
+
+
+def test_first_words_after_breaks(spark):
+    rows = [("p1", "d", 1, "the let-"), ("p2", "d", 2, "tbe house"), ("p3", "d", 3, "tbe court"), ("p4", None, 4, "tbe court"), ("p4", None, 4, "tbe court")]
+    pages = spark.createDataFrame([(*r, None) for r in rows], "key string, doc string, page int, text string, headers array<string>")
+    got = s.with_first(s.surveyed(pages, frozenset(["house", "court", "the"]), False)).collect()
+    assert {(r["key"], tuple(r["tokens"])) for r in got} == {("p1", ()), ("p2", ()), ("p3", ("tbe",)), ("p4", ("tbe",))}
+
+
+def test_words_one_edit_apart_share_a_shard():
+    words = ["".join(p) for n in (2, 3, 4, 5) for p in product("clrn", repeat=n)][::7]
+    trie = s.Trie({w: 1 for w in words})
+    for query in ["clcl", "c1n", "mrn", "dcll", "rlrn", "llcn", "ncr"]:
+        for found, _, _ in trie.near(s.fold(query)):
+            assert s.shards(query) & s.shards(found), (query, found)
+
+
+CORPUS = {**COUNTS, "tumed": 3, "fare": 9, "tare": 100, "hause": 2, "letter": 5000, "lettcr": 60, "bearing": 4, "hearing": 40}
+
+
+def by_shards(spark, tokens, counts):
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    asked = spark.createDataFrame([(t, counts.get(t, 0)) for t in tokens], "token string, n long")
+    return {r["token"]: tuple(r["candidates"]) for r in s.candidates(asked, table).collect()}
+
+
+def test_shards_find_what_one_trie_finds(spark):
+    tokens = [*CORPUS, "tbe", "derk", "furn@ce", "lette~", "hoiise", "c0urt", "modem", "zebra", "attacbed", "wntten"]
+    reader = s.Reader({w: n for w, n in CORPUS.items() if n >= s.LEAST})
+    want = {}
+    for t in tokens:
+        reader.counts[t] = CORPUS.get(t, 0)
+        if reader.misread(t):
+            want[t] = reader.misread(t)
+    assert by_shards(spark, tokens, CORPUS) == want
+    assert want["tumed"] == ("turned",) and want["lettcr"] == ("letter",)
+    assert "fare" not in want and "bearing" not in want  # rare, but not rare enough beside their neighbours
+
+
+def test_verdicts_do_not_depend_on_other_texts(spark):
+    tokens = ["tumed", "fare", "tbe", "lettcr", "bearing", "zebra"]
+    first = by_shards(spark, tokens, CORPUS)
+    for times in (1, 100):
+        other = {f"q{chr(97 + i % 26)}{chr(97 + i // 26)}zzq": 7 * times for i in range(300)}
+        assert by_shards(spark, tokens, {**CORPUS, **other}) == first
+    assert by_shards(spark, tokens, {w: 100 * n for w, n in CORPUS.items()}) == first
