@@ -6,6 +6,8 @@ item is looked up in it by binary search; neighbouring hits on one diagonal are
 verbatim matches. No shuffle takes part: the corpus is read once, the evaluation items are a stated
 query set, sent to the tasks in blocks of bounded size.
 
+The suffix arrays are sparse and sorted to a depth of ``min_words`` words: that is all that a match of
+at least that length needs to be found, and longer matches come from joining neighbouring hits.
 Positions are left out of a suffix array only when no match can start there: a match of ``min_words``
 words needs that many words, and all pairs of neighbouring words, to occur in the evaluation items.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docan.llm.key_filter import distinct_by
 from docan.llm.lookalikes import consistent
 from docan.plans.registry import Registry
 from docan.sources.tables import table
@@ -40,4 +41,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p7_texts")
 def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in its consistent form."""
-    return _forms(spark, sf_dir, True).distinct()
+    return distinct_by(_forms(spark, sf_dir, True), "record_table", "record_key")

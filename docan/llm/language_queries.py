@@ -26,6 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p1_segments")
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every span and of every segment of a mixed one."""
-    part = _verdicts(spark, sf_dir).select("document_id", "span_id", "declared", "kind", F.posexplode_outer("segments").alias("segment", "s"))
-    return part.select("document_id", "span_id", "declared", "kind", "segment", "s.begin", "s.end", "s.language", "s.confidence")
+    """Language and confidence of every span and of every segment of a mixed one; spans without a sentence have a guess."""
+    part = _verdicts(spark, sf_dir).select("document_id", "span_id", "declared", "kind", "guess", F.posexplode_outer("segments").alias("segment", "s"))
+    known = lambda c: F.coalesce(f"s.{c}", f"guess.{c}").alias(c)
+    return part.select("document_id", "span_id", "declared", "kind", "segment", "s.begin", "s.end", known("language"), known("confidence")).distinct()

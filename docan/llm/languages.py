@@ -11,8 +11,10 @@ The classifier is fitted on at most ``MAX_SAMPLES`` labelled samples, chosen by
 this bounds what the driver holds and sends to the tasks: languages x CLUSTERS x DIMENSIONS floats.
 
 Defined results
-* null or empty text, or no segment of enough words (names, references, stock phrases, rules): no
-  language, no segment;
+* null or empty text, or a text without letters: no language, no segment;
+* no segment of enough words (names, references, stock phrases): no segment, but a ``guess`` from the
+  whole text, whose confidence is halved; it never makes a case;
+* positions of segments are those of the stored text, whatever its consistent form changes;
 * labels: null, blank and names of no language (``und``, ``unknown``, ``xx`` ...) are missing labels;
   codes of two or three letters, regional codes and English or own names are one notation or another
   of a language;
@@ -31,6 +33,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,7 @@ NO_LANGUAGE = {"", "und", "unknown", "xx", "xxx", "mul", "mis", "zxx", "none", "
 _BY_NAME = {n: code for code, names in NAMES.items() for n in [code, *names.split()]}
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
+_CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
 _CUT = re.compile(r"(?<=[.!?…;:])(?=\s)|(?<=[。！？；])|\n+|\s[/|•·–—-]+\s|\t+|\s{2,}")
 
 
@@ -104,19 +108,37 @@ def cut(text: str | None) -> list[tuple[int, int]]:
     return found
 
 
+class _Words(dict):
+    """Word to its spelling without accents and the numbers of its features; met once per worker."""
+
+    def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
+        if len(self) > 300_000:
+            self.clear()
+        plain = fold(word)
+        own = (crc32(plain.encode("utf-8", "surrogatepass")) % DIMENSIONS,)
+        if plain != word:
+            own += (crc32(b"'" + word.encode("utf-8", "surrogatepass")) % DIMENSIONS,)
+        hit = self[word] = (plain, own)
+        return hit
+
+
+_FEATURES = _Words()
+
+
 def _grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature number) of the folded texts' character n-grams and of the words, with and without accents.
 
     Digits and marks count as blanks.
     """
-    who, what, runs = [], [], []
-    for k, text in enumerate(texts):
-        words = _WORD.findall(text.lower())
-        plain = [fold(w) for w in words]
-        runs.append(" " + " ".join(plain) + " \0")
-        own = [crc32(w.encode("utf-8", "surrogatepass")) for w in plain] + [crc32(b"'" + w.encode("utf-8", "surrogatepass")) for w, p in zip(words, plain) if w != p]
-        what.append(np.array(own, dtype=np.int64) % DIMENSIONS)
-        who.append(np.full(len(own), k, dtype=np.int64))
+    who, what, runs, flat, sizes = [], [], [], [], []
+    for text in texts:
+        words = [_FEATURES[w] for w in _WORD.findall(text.lower())]
+        runs.append(" " + " ".join(w[0] for w in words) + " \0")
+        own = [f for w in words for f in w[1]]
+        flat += own
+        sizes.append(len(own))
+    what.append(np.array(flat, dtype=np.int64))
+    who.append(np.repeat(np.arange(len(texts)), sizes))
     codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     bounds = codes == 0
     owner = np.cumsum(bounds) - bounds
@@ -143,6 +165,41 @@ def _weights(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair // DIMENSIONS, pair % DIMENSIONS, 1 + np.log(count)
 
 
+class _Vectors:
+    """Sparse vectors of length one, one for each text."""
+
+    def __init__(self, count: int, who: np.ndarray, what: np.ndarray, weight: np.ndarray) -> None:
+        norm = np.sqrt(np.bincount(who, weights=weight * weight, minlength=count))
+        self.count, self.who, self.what = count, who, what
+        self.weight = (weight / np.maximum(norm, 1e-9)[who]).astype(np.float32)
+
+    def __getitem__(self, rows: np.ndarray) -> _Vectors:
+        new = np.full(self.count, -1)
+        new[rows] = np.arange(len(rows))
+        own = new[self.who] >= 0
+        return _Vectors(len(rows), new[self.who[own]], self.what[own], self.weight[own])
+
+    def dot(self, table: np.ndarray) -> np.ndarray:
+        """Products with the columns of a dense table (feature, column)."""
+        out = np.zeros((self.count, table.shape[1]), dtype=np.float32)
+        start = np.flatnonzero(np.diff(self.who, prepend=-1))
+        for a in range(0, len(start), 256):
+            lo, hi = start[a], start[a + 256] if a + 256 < len(start) else len(self.who)
+            out[self.who[start[a : a + 256]]] = np.add.reduceat(table[self.what[lo:hi]] * self.weight[lo:hi, None], start[a : a + 256] - lo, axis=0)
+        return out
+
+    def sums(self, group: np.ndarray, groups: int) -> np.ndarray:
+        """Sum of the vectors of each group, as dense rows of length one; zero for none."""
+        flat = np.bincount(group[self.who] * DIMENSIONS + self.what, weights=self.weight, minlength=groups * DIMENSIONS)
+        rows = flat.reshape(groups, DIMENSIONS).astype(np.float32)
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+    def row(self, k: int) -> np.ndarray:
+        out = np.zeros(DIMENSIONS, dtype=np.float32)
+        out[self.what[self.who == k]] = self.weight[self.who == k]
+        return out
+
+
 class Centroids:
     """Languages, their centroids (rows of length one) and the inverse document frequencies."""
 
@@ -158,63 +215,46 @@ class Centroids:
         code = np.array([names.index(x) for x in labels], dtype=np.int64)
         held = np.bincount(np.unique(code[who] * DIMENSIONS + what) % DIMENSIONS, minlength=DIMENSIONS) if len(names) else np.zeros(DIMENSIONS)
         self.idf = np.log((0.5 + len(names)) / np.maximum(held, 1))
-        rows = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-        rows[who, what] = weight * self.idf[what]
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        rows = _Vectors(len(texts), who, what, weight * self.idf[what])
+        self.idf = self.idf.astype(np.float32)
         self.languages: list[str] = []
         parts = []
         for language in sorted(set(labels)):
-            own = rows[[i for i, x in enumerate(labels) if x == language]]
+            own = rows[np.array([i for i, x in enumerate(labels) if x == language])]
             for centre in _cluster(own, clusters):
                 self.languages.append(language)
                 parts.append(centre)
         self.table = np.array(parts, dtype=np.float32).reshape(-1, DIMENSIONS).T.copy()
 
-    def nearest(self, texts: Sequence[str]) -> list[tuple[str | None, float]]:
-        """Language and confidence of each text; language None where all centroids are too far.
+    def nearest(self, texts: Sequence[str], least: float = MIN_COSINE) -> list[tuple[str | None, float]]:
+        """Language and confidence of each text; language None where all centroids are farther than ``least``.
 
         The confidence is the cosine's share against that of the nearest other language.
         """
         if not texts or not self.languages:
             return [(None, 0.0)] * len(texts)
         who, what, weight = _weights(texts)
-        weight = weight * self.idf[what]
-        norm = np.sqrt(np.bincount(who, weights=weight * weight, minlength=len(texts)))
-        score = np.zeros((len(texts), self.table.shape[1]))
-        start = np.flatnonzero(np.diff(who, prepend=-1))
-        if len(start):
-            for a in range(0, len(start), 256):
-                b = start[a + 256] if a + 256 < len(start) else len(who)
-                lo = start[a]
-                block = np.add.reduceat(self.table[what[lo:b]] * weight[lo:b, None], start[a : a + 256] - lo, axis=0)
-                score[who[start[a : a + 256]]] = block
-        score /= np.maximum(norm, 1e-9)[:, None]
+        score = _Vectors(len(texts), who, what, weight * self.idf[what]).dot(self.table)
         names = sorted(set(self.languages))
         by = np.stack([score[:, [i for i, x in enumerate(self.languages) if x == n]].max(axis=1) for n in names], axis=1)
         best = by.argmax(axis=1)
-        out = []
-        for k, b in enumerate(best.tolist()):
-            top = by[k, b]
-            second = max((by[k, j] for j in range(len(names)) if j != b), default=0.0)
-            if top < MIN_COSINE:
-                out.append((None, 0.0))
-            else:
-                out.append((names[b], round(float(top / (top + max(second, 0.0))), 4)))
-        return out
+        top = by[np.arange(len(texts)), best].astype(float)
+        by[np.arange(len(texts)), best] = 0
+        second = by.max(axis=1).astype(float)
+        return [(names[b], round(t / (t + max(u, 0.0)), 4)) if t >= least and t > 0 else (None, 0.0) for b, t, u in zip(best.tolist(), top.tolist(), second.tolist())]
 
 
-def _cluster(rows: np.ndarray, clusters: int, rounds: int = 15) -> np.ndarray:
+def _cluster(rows: _Vectors, clusters: int, rounds: int = 15) -> np.ndarray:
     """Spherical k-means from far-apart beginnings; centroids of length one."""
-    chosen = [0]
-    near = rows @ rows[0]
-    while len(chosen) < min(clusters, len(rows)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, rows @ rows[chosen[-1]])
-    centres = rows[chosen]
+    centres = rows.row(0)[None]
+    near = rows.dot(centres.T)[:, 0]
+    while len(centres) < min(clusters, rows.count):
+        centres = np.vstack([centres, rows.row(int(near.argmin()))])
+        near = np.maximum(near, rows.dot(centres[-1:].T)[:, 0])
     for _ in range(rounds):
-        own = (rows @ centres.T).argmax(axis=1)
-        centres = np.array([rows[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        own = rows.dot(centres.T).argmax(axis=1)
+        held = np.bincount(own, minlength=len(centres)) > 0
+        centres = np.where(held[:, None], rows.sums(own, len(centres)), centres)
     return centres
 
 
@@ -226,42 +266,74 @@ def fit(samples: DataFrame, language_column: str = "language", text_column: str
     return Centroids([(label_language(r["language"]) or r["language"], r["text"]) for r in rows.collect()])
 
 
-def segments(records: DataFrame, keys: Sequence[str], text_column: str, model: Centroids, label_column: str | None = None) -> DataFrame:
-    """Key columns, ``declared`` (the language that the label names) and ``segments``: array of (begin, end, language, confidence).
+class _Verdicts(dict):
+    """Segments that were classed in this worker; those that recur are not classed again."""
 
-    Positions are those in the consistent form of the text.
-    """
+    def __init__(self, model: Centroids) -> None:
+        super().__init__()
+        self.model, self.size = model, 0
+
+    def fill(self, parts: Sequence[str]) -> None:
+        new = list(dict.fromkeys(p for p in parts if p not in self))
+        if self.size > 20_000_000:
+            self.clear()
+            self.size, new = 0, list(dict.fromkeys(parts))
+        self.size += sum(map(len, new))
+        self.update(zip(new, self.model.nearest(new)))
+
+
+def _lengths(text: str, plain: str) -> list[int] | None:
+    """Place in ``text`` of every character of its consistent form and of its end; None where they are the same."""
+    if len(text) == len(plain):
+        return None
+    at: list[int] = []
+    for m in _CLUSTER.finditer(text):
+        at += [m.start()] * len(normalise(m.group())[0])
+    if len(at) != len(plain):  # parts that join across clusters: the nearest place
+        at = [min(i, len(text)) for i in range(len(plain))]
+    return [*at, len(text)]
+
+
+def segments(records: DataFrame, keys: Sequence[str], text_column: str, model: Centroids, label_column: str | None = None) -> DataFrame:
+    """Key columns, ``declared`` (the language that the label names), ``segments``: array of (begin, end, language, confidence), and ``guess``."""
     label = F.col(label_column).cast("string") if label_column else F.lit(None).cast("string")
     picked = records.select(*(F.col(k) for k in keys), F.col(text_column).cast("string").alias("__text"), label.alias("__label"))
     kinds = dict(picked.dtypes)
     shape = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("language", pa.string()), ("confidence", pa.float64())]))
+    pair = pa.struct([("language", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Verdicts(model)
         for batch in batches:
-            out, waiting, parts, size = [], [], [], 0
+            out, guesses, waiting, size = [], [], [], 0
 
             def flush() -> None:
-                found = iter(model.nearest(parts))
-                for spans in waiting:
-                    out.append(_join([(a, b, *next(found)) for a, b in spans]))
+                known.fill([plain[a:b] for _, plain, spans in waiting for a, b in spans])
+                found = []
+                for text, plain, spans in waiting:
+                    at = _lengths(text, plain) if spans else None
+                    place = (lambda i: i) if at is None else at.__getitem__
+                    found.append(_join([(place(a), place(b), *known[plain[a:b]]) for a, b in spans]))
+                short = [plain for (_, plain, _), f in zip(waiting, found) if not f and _WORD.search(plain)]
+                guess = iter(model.nearest(short, 0.0))
+                for (_, plain, _), f in zip(waiting, found):
+                    language, confidence = next(guess) if not f and _WORD.search(plain) else (None, 0.0)
+                    guesses.append({"language": language, "confidence": round(confidence / 2, 4)} if language else None)
+                out.extend(found)
                 waiting.clear()
-                parts.clear()
 
             for text in batch.column(len(keys)).to_pylist():
-                plain = normalise(text)[0]
-                spans = cut(plain)
-                waiting.append(spans)
-                for a, b in spans:
-                    parts.append(plain[a:b])
-                    size += b - a
+                plain = normalise(text)[0] or ""
+                waiting.append((text or "", plain, cut(plain)))
+                size += len(plain)
                 if size > BATCH_CHARS:
                     flush()
                     size = 0
             flush()
             declared = pa.array([label_language(x) for x in batch.column(len(keys) + 1).to_pylist()], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], declared, pa.array(out, type=shape)], names=[*keys, "declared", "segments"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], declared, pa.array(out, type=shape), pa.array(guesses, type=pair)], names=[*keys, "declared", "segments", "guess"])
 
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "declared string, segments array<struct<begin: int, end: int, language: string, confidence: double>>"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "declared string, segments array<struct<begin: int, end: int, language: string, confidence: double>>, guess struct<language: string, confidence: double>"])
     return picked.mapInArrow(run, schema)
 
 
@@ -282,11 +354,11 @@ def _join(parts: list[tuple[int, int, str | None, float]]) -> list[dict]:
 
 
 def verdicts(records: DataFrame, keys: Sequence[str], label_column: str, text_column: str, model: Centroids) -> DataFrame:
-    """Keys, declared language, segments, languages, and the kind: ``missing``, ``wrong``, ``mixed``, ``right`` or ``no sentence``.
+    """Keys, declared language, segments, languages, guess, and the kind: ``missing``, ``wrong``, ``mixed``, ``right`` or ``no sentence``.
 
-    ``mixed`` goes before ``missing``.
+    ``mixed`` goes before ``missing``. Repeated rows come out as often as they are stored.
     """
-    rows = records.select(*keys, F.col(label_column).alias("__name"), F.col(text_column).alias("__source")).distinct()
+    rows = records.select(*keys, F.col(label_column).alias("__name"), F.col(text_column).alias("__source"))
     languages = F.array_sort(F.array_distinct(F.transform("segments", lambda s: s["language"])))
     out = segments(rows, keys, "__source", model, "__name").withColumn("languages", languages)
     kind = (
@@ -296,4 +368,4 @@ def verdicts(records: DataFrame, keys: Sequence[str], label_column: str, text_co
         .when(F.col("declared") != F.col("languages")[0], "wrong")
         .otherwise("right")
     )
-    return out.withColumn("kind", kind).select(*keys, "declared", "kind", "languages", "segments")
+    return out.withColumn("kind", kind).select(*keys, "declared", "kind", "languages", "segments", "guess")

@@ -4,8 +4,10 @@ Script sets follow Unicode Technical Standard 39: a token's resolved script set
 its characters' script sets; where it is empty, the token mixes scripts. A mixed token is spelled in
 the script that can spell it whole, each foreign letter replaced by its look-alike; of several such
 scripts the one with most of the token's letters wins, then the text's leading script, then Latin.
-A token of one script all of whose letters look like another script's is a whole-script confusable:
-it is counted, but kept, as such words (``он``, ``то``) are mostly genuine.
+A token of one script all of whose letters look like Latin ones is a whole-script confusable. Such
+words may be genuine (``он``, ``то``), so it is the text's script that says which spelling is consistent:
+it is spelled in Latin letters where most of the text's letters are Latin and no word of the text is
+surely of the other script (single Greek letters stay, as they are signs). All are counted.
 
 Then compatibility variants of Latin letters, digits, hyphens and spaces take their plain form,
 invisible characters go, and accents join their letters where a joint code exists. Line feeds and
@@ -37,6 +39,10 @@ CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜЬаеѕіјорсухһԁԛԝ
 CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXYGQWbaesijopcyxhdqwlrnkmtHBbvy"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγεικνορτυχωϲϳ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXayeikvoptuxwcj"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏚᏙᏞᏟᏢᏦᏴ"
+CHEROKEE_AS_LATIN = "DRTiAJEWMHGZ4RWSVLCPKB"
+ARMENIAN = "ՍՕԼոսօհզցյ"
+ARMENIAN_AS_LATIN = "UOLnuohqgj"
 #: Characters that show nothing, besides those of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
 HYPHENS = "-‐"
@@ -44,7 +50,7 @@ HYPHENS = "-‐"
 HYPHEN_VARIANTS = "‑﹣－"
 
 _LATIN = regex.compile(r"\p{Script=Latin}")
-_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Thai", "Georgian", "Hangul", "Hiragana", "Katakana", "Bopomofo", "Han")
+_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Thai", "Georgian", "Hangul", "Hiragana", "Katakana", "Bopomofo", "Han", "Cherokee")
 #: Scripts written together count as one writing system.
 _SYSTEMS = {"Han": {"Han", "Hanb", "Jpan", "Kore"}, "Hiragana": {"Hiragana", "Jpan"}, "Katakana": {"Katakana", "Jpan"}, "Hangul": {"Hangul", "Kore"}, "Bopomofo": {"Bopomofo", "Hanb"}}
 _ALL = frozenset({"*"})
@@ -81,6 +87,8 @@ def _twins() -> dict[str, dict[str, str]]:
         for a, b in zip(own, latin, strict=True):
             to["Latin"][a] = b
             to[name].setdefault(b, a)
+    for own, latin in ((CHEROKEE, CHEROKEE_AS_LATIN), (ARMENIAN, ARMENIAN_AS_LATIN)):
+        to["Latin"].update({a: b for a, b in zip(own, latin, strict=True) if b.isalpha()})
     for a, b in list(to["Cyrillic"].items()):
         if a in to["Greek"]:
             to["Greek"].setdefault(b, to["Greek"][a])
@@ -102,8 +110,7 @@ def _plain() -> dict[str, str]:
         if flat == char or unicodedata.category(char) in ("Cn", "Co", "Cs"):
             continue
         if all((c.isalpha() and _LATIN.match(c)) or c in "0123456789 " or c in HYPHENS for c in flat):
-            if unicodedata.normalize("NFC", char) == char or not unicodedata.decomposition(char).startswith("<") or True:
-                found[char] = flat.replace("‐", "-")
+            found[char] = flat.replace("‐", "-")
     for char in HYPHEN_VARIANTS:
         found[char] = "-"
     for code in range(0x2000, 0x200B):
@@ -147,9 +154,11 @@ _ANYTHING = re.compile(f"[^\x00-\x7f{re.escape(_SAFE)}\u4e00-\u9fff]")
 _VARIANT = regex.compile(f"[{_class(set(PLAIN))}]")
 _UNSEEN = regex.compile(f"[{_class(UNSEEN)}]")
 _APART = regex.compile(r"[^\p{M}]\p{M}+")
-_OTHER = regex.compile(r"[\p{Script=Greek}\p{Script=Cyrillic}]")
+_OTHER = regex.compile(r"[\p{Script=Greek}\p{Script=Cyrillic}\p{Script=Cherokee}\p{Script=Armenian}]")
+_GREEK = regex.compile(r"\p{Script=Greek}")
 _TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _MIXABLE = frozenset({"Latin", "Greek", "Cyrillic"})
+_ALL_MIXABLE = _MIXABLE | {"Cherokee", "Armenian"}
 
 
 def _spell(token: str, lead: str) -> str | None:
@@ -160,6 +169,7 @@ def _spell(token: str, lead: str) -> str | None:
         if own != _ALL:
             letters.update(own & _MIXABLE)
     best = None
+    letters.setdefault("Latin", 0)
     for script in sorted(letters, key=lambda s: (-letters[s], s != lead, s != "Latin", s)):
         twins, out = TWINS[script], []
         for char in token:
@@ -176,19 +186,26 @@ def _spell(token: str, lead: str) -> str | None:
     return best
 
 
-def _mixed(token: str) -> bool:
-    kinds = set()
+def _scripts_of(token: str) -> set[str]:
+    """Scripts of a token's letters, as far as they have look-alikes of Latin ones."""
+    kinds: set[str] = set()
     for char in token:
         own = scripts(char)
         if own != _ALL:
-            kinds |= own & _MIXABLE
-    return "Latin" in kinds and len(kinds) > 1 and not resolved(token)
+            kinds |= own & _ALL_MIXABLE
+    return kinds
 
 
-def normalise(text: str | None) -> tuple[str | None, int, int, int, int, int]:
-    """Consistent form and the counts of variants, accents apart, invisible characters, mixed words and whole-script confusables."""
+def _as_latin(token: str) -> str | None:
+    """``token`` in Latin letters, where all its letters look like such."""
+    twins = TWINS["Latin"]
+    return "".join(twins.get(c, c) for c in token) if all(c in twins or scripts(c) == _ALL for c in token) else None
+
+
+def normalise(text: str | None) -> tuple[str | None, int, int, int, int, int, int]:
+    """Consistent form and the counts of variants, accents apart, invisible characters, mixed words (Latin with Greek or Cyrillic), whole-script confusables and words mixed with other scripts."""
     if not text or text.isascii() or not _ANYTHING.search(text):
-        return text, 0, 0, 0, 0, 0
+        return text, 0, 0, 0, 0, 0, 0
     unseen = len(_UNSEEN.findall(text))
     if unseen:
         text = text.translate(_DROP)
@@ -200,29 +217,45 @@ def normalise(text: str | None) -> tuple[str | None, int, int, int, int, int]:
         for match in _APART.findall(text):
             apart += len(unicodedata.normalize("NFC", match)) < len(match)
         text = unicodedata.normalize("NFC", text)
-    mixed = whole = 0
+    mixed = whole = other = 0
     if _OTHER.search(text):
         latin = len(_LATIN.findall(text))
         lead = "Latin" if 2 * latin >= sum(c.isalpha() for c in text) else "Cyrillic"
-        out, at = [], 0
+        changes: list[tuple[int, int, str]] = []
+        alike: list[tuple[int, int, str, set[str]]] = []
+        genuine: set[str] = set()
         for match in _TOKEN.finditer(text):
             token = match.group()
             if not _OTHER.search(token):
                 continue
-            if _mixed(token):
-                mixed += 1
+            kinds = _scripts_of(token)
+            if "Latin" in kinds and len(kinds) > 1 and not resolved(token):
+                if kinds <= _MIXABLE:
+                    mixed += 1
+                else:
+                    other += 1
                 spelled = _spell(token, lead)
                 if spelled is not None:
-                    out += [text[at : match.start()], spelled]
-                    at = match.end()
-            elif lead == "Latin" and all(c in TWINS["Latin"] or scripts(c) == _ALL for c in token):
+                    changes.append((match.start(), match.end(), spelled))
+                continue
+            spelled = _as_latin(token)
+            if spelled is None:
+                genuine |= kinds
+            elif lead == "Latin":
                 whole += 1
+                if len(token) > 1 or not _GREEK.match(token):
+                    alike.append((match.start(), match.end(), spelled, kinds))
+        changes += [(a, b, spelled) for a, b, spelled, kinds in alike if not kinds & genuine]
+        out, at = [], 0
+        for a, b, spelled in sorted(changes):
+            out += [text[at:a], spelled]
+            at = b
         if out:
             text = "".join([*out, text[at:]])
-    return text, variants, apart, unseen, mixed, whole
+    return text, variants, apart, unseen, mixed, whole, other
 
 
-COUNTS = ("variants", "accents_apart", "invisible", "mixed_words", "whole_script")
+COUNTS = ("variants", "accents_apart", "invisible", "mixed_words", "whole_script", "mixed_other")
 
 
 def consistent(records: DataFrame, keys: Sequence[str], text_column: str, with_text: bool = True) -> DataFrame:
@@ -233,7 +266,7 @@ def consistent(records: DataFrame, keys: Sequence[str], text_column: str, with_t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             results = [normalise(t) for t in batch.column(len(keys)).to_pylist()]
-            columns = list(zip(*results)) if results else [()] * 6
+            columns = list(zip(*results)) if results else [()] * 7
             arrays = list(batch.columns[: len(keys)]) + ([pa.array(columns[0], type=pa.string())] if with_text else [])
             arrays += [pa.array(c, type=pa.int32()) for c in columns[1:]]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *(["text"] if with_text else []), *COUNTS])

@@ -154,6 +154,8 @@ def pack(counts: DataFrame, plans: Mapping[str, Sequence[int]]) -> DataFrame:
     ``counts`` is read several times and must therefore be cheap to read (a table or a checkpoint).
     """
     names = sorted(plans)
+    if any(not 0 < c < 1 << 24 for caps in plans.values() for c in caps):
+        raise ValueError("capacities must lie between 1 and 2**24 - 1")
     items = pieces(counts, {n: plans[n] for n in names})
     most = items.groupBy("plan").count().agg(F.max("count")).first()[0] or 0
     buckets = int(max(64, most // BUCKET_ITEMS))

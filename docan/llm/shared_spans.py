@@ -14,7 +14,8 @@ map-side combine, so a key held by a third of all records costs no more than any
 The windows of an anchor that occur elsewhere all contain the anchor, so their union is one stretch
 around it; the union over a record's anchors is exactly its text that lies in shared stretches.
 
-Equality is that of two independent 64-bit hashes of the window and of the anchor in it.
+Equality is that of two independent 64-bit hashes, of the window and of the anchor in it: 128 bits, by
+which two of 10**13 different windows are taken for equal with a chance of 10**-12.
 
 Defined results
 * null or empty text, texts shorter than ``min_chars``: nothing shared;
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docan.llm.key_filter import key_filter, possible
 from docan.session import checkpoint
 
 MIN_CHARS = 400
@@ -42,8 +44,6 @@ MIN_CHARS = 400
 STEP, FINE = 100, 10
 #: Characters hashed at once; longer texts are cut into pieces that overlap by ``min_chars``.
 CHUNK = 1_000_000
-#: Ids up to this many (8 bytes each) may be broadcast to pick the texts to extend in.
-BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 _BASE_A, _BASE_B = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -189,10 +189,9 @@ def _exact(texts: DataFrame, open_anchors: DataFrame, size: int) -> DataFrame:
     place is pos * w + the first offset, core the hash common to the windows of those offsets.
     """
     w = size - size // 4
-    wanted = open_anchors.groupBy("id").agg(F.collect_list(F.struct("pos", "anchor", "core")).alias("at"))
-    if open_anchors.select("id").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(open_anchors.select("id").distinct()), "id", "left_semi")
-    joined = texts.groupBy("id", "text").agg(F.lit(1).alias("one")).select("id", "text").join(wanted, "id")
+    wanted = open_anchors.groupBy("id").agg(F.collect_list(F.struct("pos", "anchor", "core")).alias("at"))  # one text's anchors
+    # most texts without an open anchor stay where they are; a repeated row yields its keys again, which counts nothing twice
+    joined = possible(texts, key_filter(open_anchors, "id"), "id").join(wanted, "id")
     kind = dict(texts.dtypes)["id"]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,33 @@ def test_frame(spark, samples):
         "6": ("right", ["de"], 1), None: ("no sentence", [], 0), "7": ("no sentence", [], 0), "8": ("wrong", ["de"], 1),
     }
     assert g.verdicts(df.limit(0), ["document_id", "span_id"], "label", "body", model).count() == 0
+
+
+def test_spans_without_a_sentence_have_a_guess(spark, samples):
+    model = g.Centroids(samples)
+    rows = [("1", "Der Vertrag"), ("2", "12 / 40"), ("3", None), ("4", "")]
+    got = {r["id"]: r["guess"] for r in g.segments(spark.createDataFrame(rows, "id string, body string"), ["id"], "body", model).collect()}
+    assert got["1"]["language"] == "de" and 0 < got["1"]["confidence"] <= 0.5
+    assert got["2"] is None and got["3"] is None and got["4"] is None
+
+
+def test_positions_are_those_of_the_stored_text(spark, samples):
+    model = g.Centroids(samples)
+    de, fr = next(t for c, t in samples if c == "de"), next(t for c, t in samples if c == "fr")
+    text = "\u200b" + de.replace("e", "e\u00ad", 3) + " / " + fr
+    (row,) = g.segments(spark.createDataFrame([("1", text)], "id string, body string"), ["id"], "body", model).collect()
+    first, second = row["segments"]
+    assert text[second["begin"] : second["end"]] == fr and text[first["begin"] : first["end"]].replace("\u00ad", "") == de
+
+
+def test_sparse_vectors(samples):
+    texts = [t for _, t in samples[:7]] + [""]
+    who, what, weight = g._weights(texts)
+    rows = g._Vectors(len(texts), who, what, weight)
+    dense = g.np.stack([rows.row(k) for k in range(len(texts))])
+    table = g.np.random.default_rng(1).random((g.DIMENSIONS, 3)).astype("float32")
+    assert g.np.allclose(rows.dot(table), dense @ table, atol=1e-4)
+    group = g.np.array([0, 1, 0, 1, 2, 2, 0, 1])
+    want = g.np.stack([dense[group == k].sum(axis=0) for k in range(3)])
+    assert g.np.allclose(rows.sums(group, 3), want / g.np.linalg.norm(want, axis=1, keepdims=True), atol=1e-5)
+    assert g.np.allclose(rows[g.np.array([1, 3])].row(1), dense[3])

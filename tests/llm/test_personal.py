@@ -91,3 +91,42 @@ def test_short_street_words(text):
 @pytest.mark.parametrize("text,types", [("the letter of Bob Kofgasteher was late", ["NAME"]), ("it was sent, with Al Kofgasteher, to us", ["NAME"]), ("and Jack B. von Kofgasteher came", ["NAME"]), ("the new Bill Exhibit", []), ("the Jack Textiles Ltd", []), ("Will Counsel be there", []), ("We asked. Mark Every page", []), ("THE WILL KOFGASTEHER", []), ("the Letter of A-31\nSans autre explication", [])])
 def test_given_names_that_are_words(text, types):
     assert p.mask(text, KEY)[1] == types
+
+
+@pytest.mark.parametrize(
+    "text,types",
+    [
+        ("Priya Ramanathan signed the form", ["NAME"]), ("then Wei Zhang wrote to us", ["NAME"]), ("It was signed by Ahmed Hassan today", ["NAME"]), ("witnessed by Fatima al-Sayed", ["NAME"]), ("a letter: Dear Oluwaseun Adeyemi, thanks", ["NAME"]),
+        ("The Harbour Master signed it", []), ("signed by Gulmar Textiles Ltd", []), ("Chief Clerk said so", []), ("signed by the Director General", []), ("The Revenue Office wrote", []), ("on behalf of New Harbour Street residents", []),
+    ],
+)
+def test_names_on_no_list(text, types):
+    assert p.mask(text, KEY)[1] == types
+
+
+def test_recall_on_names_on_no_list():
+    given = "Priya Wei Ahmed Fatima Oluwaseun Siobhan Nguyen Kwame Yuki Aarav Chioma Dmitri".split()
+    family = "Ramanathan Zhang Hassan al-Sayed Adeyemi O'Brien Tran Mensah Tanaka Okafor Volkov Ibrahim".split()
+    shapes = ("{} wrote to the court", "as {} explained later", "it was signed by {}, in ink", "Dear {}", "we spoke with {} there")
+    cases = [shape.format(f"{g} {f}") for g in given for f in family for shape in shapes]
+    assert sum(p.mask(c, KEY)[1] == ["NAME"] for c in cases) / len(cases) >= 0.95
+
+
+def test_account_numbers_are_validated_and_stay_valid():
+    assert p.luhn("7992739871") == 3 and p.iban_check("GB", "WEST12345698765432") == "82"
+    text = "card 4111 1111 1111 1111 and GB82 WEST 1234 5698 7654 32, not 4111 1111 1111 1112 nor GB83 WEST 1234 5698 7654 32"
+    assert p.mask(text, KEY) == (text, [])
+    new, types = p.mask(text, KEY, with_accounts=True)
+    assert types == ["ACCOUNT"] and new.count("[ACCOUNT ") == 2 and "4111 1111 1111 1112" in new
+    card, iban = (x.split("]")[0] for x in new.split("[ACCOUNT ")[1:])
+    digits = card.replace(" ", "")
+    assert card != "4111 1111 1111 1111" and p.luhn(digits[:-1]) == int(digits[-1])
+    flat = iban.replace(" ", "")
+    assert flat[:2] == "GB" and flat[4:8] == "WEST" and p.iban_check("GB", flat[4:]) == flat[2:4] and flat != "GB82WEST12345698765432"
+
+
+def test_social_security_numbers_stay_in_their_areas():
+    made = {a: p._digits(a, "NATIONAL_ID", KEY) for a in [f"{n:03}-{n % 89 + 10}-{n + 1000}" for n in range(0, 1000, 37)]}
+    assert len(set(made.values())) == len(made)
+    for old, new in made.items():
+        assert p.issued(old.replace("-", "")) == p.issued(new.replace("-", "")) and [i for i, c in enumerate(new) if c == "-"] == [3, 6]
