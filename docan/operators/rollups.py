@@ -55,15 +55,24 @@ def class_scores(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def reliability(rows: DataFrame, score: str, label: Column, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_score, share_true) over equal bins of the score, which is held within 0 and 1."""
+    """(bin, n, mean_score, share_true, gap) over equal bins of the score, which is held within 0 and 1.
+
+    ``gap`` is n times the difference of share and mean, from a decimal sum of the scores as they are printed, so
+    that it is the same in every order of rows; null where a score is no decimal (NaN, infinite, 1e10 or more).
+    """
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
     b = F.least(F.floor(held * bins), F.lit(bins - 1)).cast("int")
-    return rows.filter(F.col(score).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(label.cast("double")).alias("share_true"))
+    exact, truth, n = F.col(score).try_cast("decimal(28,18)"), label.cast("double"), F.count(F.lit(1))
+    true = F.when(F.count(truth) == n, F.try_sum(truth.try_cast("decimal(28,18)"))).otherwise((n * F.avg(truth)).try_cast("decimal(38,18)"))
+    gap = F.when(F.count(exact) == n, F.abs(F.try_subtract(true, F.try_sum(exact))))
+    return rows.filter(F.col(score).isNotNull()).groupBy(b.alias("bin")).agg(n.alias("n"), F.avg(score).alias("mean_score"), F.avg(truth).alias("share_true"), gap.alias("gap"))
 
 
 def calibration_error(table: DataFrame) -> DataFrame:
-    """Mean gap between score and truth over the bins, weighted by their rows."""
-    return table.agg(F.round(F.sum(F.col("n") * F.abs(F.col("share_true") - F.col("mean_score"))) / F.sum("n"), 6).alias("ece"))
+    """Mean gap between score and truth over the bins, weighted by their rows; a half of the last digit is rounded up."""
+    gap = F.col("n") * F.abs(F.col("share_true") - F.col("mean_score"))
+    exact = F.when(F.count("gap") == F.count(gap), F.round(F.try_divide(F.try_sum("gap"), F.sum("n").cast("decimal(20,0)")), 6).cast("double"))
+    return table.agg(F.coalesce(exact, F.round(F.sum(gap) / F.sum("n"), 6)).alias("ece"))
 
 
 def quality_class(rate: Column, confidence: Column) -> Column:

@@ -200,6 +200,15 @@ def test_reliability(spark):
     assert {r["bin"]: r["n"] for r in rollups.reliability(df, "p", F.col("y")).collect()} == {9: 2, 0: 1}
 
 
+def test_calibration_error_of_a_tie(spark):
+    scores = [0.0138, 0.0583, 0.0868, 0.0822, 0.0783, 0.0065, 0.0262, 0.0]  # their mean is 0.0440125
+    error = lambda rows, kind="boolean": rollups.calibration_error(rollups.reliability(spark.createDataFrame(rows, f"p double, y {kind}").coalesce(1), "p", F.col("y"))).first()["ece"]
+    assert {error([(p, False) for p in order]) for order in (scores, scores[::-1], sorted(scores))} == {0.044013}
+    assert error([(p, 0) for p in scores], "int") == 0.044013
+    assert error([(0.3, None), (0.35, True)]) == 0.675 and error([]) is None and error([(0.3, None)]) is None
+    assert error([(1e30, True), (0.2, False)]) == 5e29 and error([(float("nan"), True)]) != error([(float("nan"), True)])
+
+
 def test_languages(spark):
     df = spark.createDataFrame([("d", "de", 10, 1.0), ("d", "fr", 10, 0.5)], "d string, l string, n int, c double")
     shares = rollups.language_shares(df, ["d"], "l", F.col("n"), "c")
