@@ -1,7 +1,8 @@
 """Orphan references: rows whose key points to a record that is missing, deleted or arrived later.
 
 ``direct_orphans`` decides one foreign key against its parent; ``cascade`` walks a graph of foreign
-keys to a fixpoint, so that children of orphaned rows come out as inherited orphans.
+keys to a fixpoint, so that children of orphaned rows come out as inherited orphans. In both, the rows
+of a frequent key are dealt out to pieces before the join, and the parent's row is copied to each piece.
 
 Defined results
 * null or blank reference: refers to nothing, never an orphan;
@@ -11,7 +12,8 @@ Defined results
 * parent rows with null arrival: ignored beside dated rows of the key; a key with none dated was there from the start;
 * purge with null time: ignored;
 * empty parent table: every non-blank reference is an orphan; empty child table: empty result;
-* extra columns, whatever their names, are ignored: only the named columns are read.
+* extra columns, whatever their names, are ignored: only the named columns are read;
+* several parent rows of one key: children of the key are inherited orphans as soon as one of these rows is an orphan.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that stay together in a join; a key with more is dealt out. At most rows / PIECE_ROWS keys are, and TOP.
+PIECE_ROWS = 20_000
+#: Most keys dealt out, and keys tracked to find them.
+TOP, TRACKED = 1_000, 32_768
+
+
 @dataclass(frozen=True)
 class Reference:
     """One foreign key: ``table.ref_column`` refers to ``parent`` (its ``id_column``)."""
@@ -36,8 +44,10 @@ class Reference:
     parent_time: str | None = None
 
 
-def canonical_key(key: Column) -> Column:
-    """Trimmed, lower-cased key; null when nothing is left."""
+def canonical_key(key: Column, dtype: str = "string") -> Column:
+    """Trimmed, lower-cased key; null when nothing is left. Whole numbers are only written out."""
+    if dtype in ("tinyint", "smallint", "int", "bigint"):
+        return key.cast("string")
     trimmed = F.lower(F.regexp_replace(key.cast("string"), r"^\s+|\s+$", ""))
     return F.when(trimmed != "", trimmed)
 
@@ -52,7 +62,7 @@ def _parent_times(parent: DataFrame, key: str, arrived: str | None) -> DataFrame
     when = instant(F.col(arrived), dict(parent.dtypes)[arrived]) if arrived else F.lit(None).cast("timestamp")
     start = F.lit("0001-01-01 00:00:00").cast("timestamp")
     return (
-        parent.select(canonical_key(F.col(key)).alias("key"), when.alias("arrived"))
+        parent.select(canonical_key(F.col(key), dict(parent.dtypes)[key]).alias("key"), when.alias("arrived"))
         .filter(F.col("key").isNotNull())
         .groupBy("key")
         .agg(F.coalesce(F.min("arrived"), start).alias("arrived"))
@@ -61,7 +71,7 @@ def _parent_times(parent: DataFrame, key: str, arrived: str | None) -> DataFrame
 
 def _purge_times(purges: DataFrame, key: str, purged: str) -> DataFrame:
     return (
-        purges.select(canonical_key(F.col(key)).alias("key"), instant(F.col(purged), dict(purges.dtypes)[purged]).alias("purged"))
+        purges.select(canonical_key(F.col(key), dict(purges.dtypes)[key]).alias("key"), instant(F.col(purged), dict(purges.dtypes)[purged]).alias("purged"))
         .filter(F.col("key").isNotNull() & F.col("purged").isNotNull())
         .groupBy("key")
         .agg(F.min("purged").alias("purged"))
@@ -76,18 +86,39 @@ def key_states(parent: DataFrame, parent_key: str, arrived: str | None, purges:
     return times.join(_purge_times(purges, purge_key, purged), "key", "full_outer")
 
 
-def direct_orphans(child: DataFrame, id_column: str, ref_column: str, time_column: str | None, states: DataFrame) -> DataFrame:
-    """(ref_id, key, at, cause) of the rows of ``child`` whose reference does not resolve.
-
-    The child is reduced to distinct (id, key, time) with map-side combine before the join. A key that
-    holds a large part of all rows is split by adaptive skew-join handling: the child is the streamed
-    side of a left join, so its hot partition can be cut into pieces at will.
-    """
+def referring_rows(child: DataFrame, id_column: str, ref_column: str, time_column: str | None) -> DataFrame:
+    """(ref_id, key, at) of the rows of ``child`` that refer to something."""
     at = instant(F.col(time_column), dict(child.dtypes)[time_column]) if time_column else F.lit(None).cast("timestamp")
-    rows = (
-        child.select(F.col(id_column).cast("string").alias("ref_id"), canonical_key(F.col(ref_column)).alias("key"), at.alias("at"))
+    return (
+        child.select(F.col(id_column).cast("string").alias("ref_id"), canonical_key(F.col(ref_column), dict(child.dtypes)[ref_column]).alias("key"), at.alias("at"))
         .filter(F.col("key").isNotNull())
     )
+
+
+def hot_keys(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(key, pieces) of the keys with more than ``piece_rows`` rows.
+
+    All rows are counted, in one table of frequent items of bounded size per task, so that no key is shuffled. The counts
+    are exact up to TRACKED * 3 / 4 keys and estimates beyond; they decide only how rows are spread, never the result.
+    """
+    top = rows.agg(F.expr(f"approx_top_k(key, {TOP}, {TRACKED})").alias("top")).selectExpr("inline(top)")
+    return top.select(F.col("item").alias("key"), F.ceil(F.col("count") / piece_rows).alias("pieces")).filter("pieces > 1")
+
+
+def dealt_join(rows: DataFrame, keys: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined to ``keys`` by key, where the rows of a hot key are dealt out and its keys copied to each piece."""
+    pieces = F.coalesce("pieces", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("piece", F.pmod(F.xxhash64("ref_id", "at"), pieces)).drop("pieces")
+    copies = keys.join(F.broadcast(hot), "key", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("pieces")
+    return dealt.join(copies, ["key", "piece"], how).drop("piece")
+
+
+def direct_orphans(child: DataFrame, id_column: str, ref_column: str, time_column: str | None, states: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(ref_id, key, at, cause) of the rows of ``child`` whose reference does not resolve.
+
+    ``hot`` are the ``hot_keys`` of the child's references, which are counted here if not given.
+    """
+    rows = referring_rows(child, id_column, ref_column, time_column)
     cause = (
         F.when(F.col("arrived").isNull() & F.col("purged").isNull(), "missing")
         .when(F.col("purged") <= F.col("at"), "deleted")
@@ -95,7 +126,7 @@ def direct_orphans(child: DataFrame, id_column: str, ref_column: str, time_colum
         .when(F.col("arrived") > F.col("at"), "later")
     )
     return (
-        rows.join(states, "key", "left")
+        dealt_join(rows, states, hot_keys(rows) if hot is None else hot, "left")
         .withColumn("cause", cause)
         .filter(F.col("cause").isNotNull())
         .select("ref_id", "key", "at", "cause")
@@ -111,54 +142,70 @@ def report(orphans: DataFrame) -> DataFrame:
     )
 
 
-def cascade(tables: Mapping[str, DataFrame], references: Sequence[Reference], purges: Mapping[str, DataFrame] | None = None, purge_key: str = "job_id", purged: str = "purged_at") -> DataFrame:
+def _lost_keys(parent: DataFrame, id_column: str, key_column: str, lost: DataFrame) -> DataFrame:
+    """Keys by which children refer to the rows of ``parent`` whose ids are in ``lost``."""
+    if key_column == id_column:
+        keys = lost.select(canonical_key(F.col("ref_id")).alias("key"))
+    else:
+        ids = parent.select(F.col(id_column).cast("string").alias("ref_id"), canonical_key(F.col(key_column)).alias("key"))
+        keys = ids.join(lost.select("ref_id"), "ref_id", "left_semi").select("key")
+    return keys.filter(F.col("key").isNotNull()).distinct()
+
+
+def _tables_of(orphans: DataFrame) -> set[str]:
+    return {row["ref_table"] for row in orphans.select("ref_table").distinct().collect()}
+
+
+def cascade(tables: Mapping[str, DataFrame], references: Sequence[Reference], purges: Mapping[str, DataFrame] | None = None, purge_key: str = "job_id", purged: str = "purged_at", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(ref_table, ref_id, at, kind, cause) over a whole graph of foreign keys.
 
     Round 0 finds the direct orphans of every reference. Each further round semi-joins the children
     of the tables that gained orphans in the round before against those orphans only, and takes what
     was not known yet, until a round adds nothing. Rounds are at most the number of tables unless the
     graph has a cycle, where they end because the set of orphans only grows.
+    The hot keys of a reference are counted once and dealt out in every round.
     ``kind`` is ``direct`` where the row's own reference fails, else ``inherited``.
     """
     from docan.session import checkpoint
 
-    parts = []
+    if not references:
+        raise ValueError("no reference given")
+    ids = {r.table: r.id_column for r in references}
+    has_children = {r.parent for r in references} & set(ids)
+    parts, linked = [], []
     for r in references:
         states = key_states(tables[r.parent], r.parent_key, r.parent_time, (purges or {}).get(r.parent), purge_key, purged)
+        rows = referring_rows(tables[r.table], r.id_column, r.ref_column, r.time_column)
+        hot = hot_keys(rows, piece_rows)
+        if r.parent in has_children:
+            hot = checkpoint(hot)
+            linked.append((r, rows, hot))
         parts.append(
-            direct_orphans(tables[r.table], r.id_column, r.ref_column, r.time_column, states)
+            direct_orphans(tables[r.table], r.id_column, r.ref_column, r.time_column, states, hot)
             .select(F.lit(r.table).alias("ref_table"), "ref_id", "at", F.lit("direct").alias("kind"), "cause")
         )
-    if not parts:
-        raise ValueError("no reference given")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    has_children = {r.parent for r in references} & {r.table for r in references}
     if not has_children:
         return found.distinct()
     found = checkpoint(found.distinct())
-    frontier, gained = found, {r.table for r in references}
+    frontier, gained = found, _tables_of(found)
     while gained & has_children:
         steps = []
-        for r in references:
+        for r, rows, hot in linked:
             if r.parent not in gained:
                 continue
-            child = tables[r.table]
-            at = instant(F.col(r.time_column), dict(child.dtypes)[r.time_column]) if r.time_column else F.lit(None).cast("timestamp")
-            lost = frontier.filter(F.col("ref_table") == r.parent).select(canonical_key(F.col("ref_id")).alias("key")).filter(F.col("key").isNotNull()).distinct()
+            lost = _lost_keys(tables[r.parent], ids[r.parent], r.parent_key, frontier.filter(F.col("ref_table") == r.parent))
             steps.append(
-                child.select(F.col(r.id_column).cast("string").alias("ref_id"), canonical_key(F.col(r.ref_column)).alias("key"), at.alias("at"))
-                .join(lost, "key", "left_semi")
+                dealt_join(rows, lost, hot, "left_semi")
                 .select(F.lit(r.table).alias("ref_table"), "ref_id", "at", F.lit("inherited").alias("kind"), F.lit("parent").alias("cause"))
             )
-        if not steps:
-            break
         new = steps[0]
-        for s in steps[1:]:
-            new = new.unionByName(s)
+        for t in steps[1:]:
+            new = new.unionByName(t)
         known = found.select("ref_table", "ref_id").distinct()
         frontier = checkpoint(new.distinct().join(known, ["ref_table", "ref_id"], "left_anti"))
-        gained = {row["ref_table"] for row in frontier.select("ref_table").distinct().collect()}
+        gained = _tables_of(frontier)
         found = found.unionByName(frontier)
     return found

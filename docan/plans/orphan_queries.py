@@ -21,6 +21,16 @@ DOCUMENT_REFERENCES = (
     Reference("translation_spans", "span_key", "document_id", None, "retrieval_documents", "document_id"),
 )
 
+SALES_REFERENCES = (
+    Reference("nation", "n_nationkey", "n_regionkey", None, "region", "r_regionkey"),
+    Reference("customer", "c_custkey", "c_nationkey", None, "nation", "n_nationkey"),
+    Reference("customer", "c_custkey", "c_custkey", "reviewed", "account", "c_custkey"),
+    Reference("orders", "o_orderkey", "o_custkey", None, "customer", "c_custkey"),
+    Reference("lineitem", "line", "l_orderkey", None, "orders", "o_orderkey"),
+)
+#: Accounts closed up to here are gone.
+REVIEWED = "2024-01-20 00:00:00"
+
 _JOB_SQL = """
 WITH key AS (
   SELECT lower(regexp_replace(job_id, '^\\s+|\\s+$', '', 'g')) AS k, min(loaded_at) AS arrived
@@ -92,3 +102,44 @@ def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = cascade(tables, DOCUMENT_REFERENCES).select("ref_table", "ref_id").distinct()
     names = spark.createDataFrame([(r.table,) for r in DOCUMENT_REFERENCES], "ref_table string")
     return names.join(lost, "ref_table", "left").groupBy("ref_table").agg(F.count("ref_id").alias("orphans"))
+
+
+@registry.query(
+    "p4_inherited",
+    f"""
+WITH RECURSIVE link AS (
+  SELECT 'nation' AS t, n_nationkey::VARCHAR AS id, 'region' AS p, n_regionkey::VARCHAR AS k FROM nation
+  UNION ALL SELECT 'customer', c_custkey::VARCHAR, 'nation', c_nationkey::VARCHAR FROM customer
+  UNION ALL SELECT 'customer', c_custkey::VARCHAR, 'account', c_custkey::VARCHAR FROM customer
+  UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'customer', o_custkey::VARCHAR FROM orders
+  UNION ALL SELECT 'lineitem', l_orderkey || '-' || l_linenumber, 'orders', l_orderkey::VARCHAR FROM lineitem
+), present AS (
+  SELECT 'region' AS p, r_regionkey::VARCHAR AS k FROM region
+  UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM nation
+  UNION ALL SELECT 'account', c_custkey::VARCHAR FROM customer WHERE NOT EXISTS (
+    SELECT 1 FROM events WHERE event_type = 'error' AND user_id = c_custkey AND ts <= TIMESTAMP '{REVIEWED}')
+  UNION ALL SELECT 'customer', c_custkey::VARCHAR FROM customer
+  UNION ALL SELECT 'orders', o_orderkey::VARCHAR FROM orders
+), direct AS (
+  SELECT DISTINCT t, id FROM link WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present WHERE present.p = link.p AND present.k = link.k)
+), lost AS (
+  SELECT t, id FROM direct
+  UNION
+  SELECT link.t, link.id FROM lost JOIN link ON link.p = lost.t AND link.k = lost.id
+)
+SELECT t AS ref_table, id AS ref_id, CASE WHEN EXISTS (SELECT 1 FROM direct WHERE direct.t = lost.t AND direct.id = lost.id) THEN 'direct' ELSE 'inherited' END AS kind
+FROM lost""",
+)
+def p4_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose account was closed (an event of type error) by the day of review, with the orders and lines below them."""
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").withColumn("reviewed", F.lit(REVIEWED).cast("timestamp"))
+    tables = {
+        "region": table(spark, sf_dir, "region", "r_regionkey"),
+        "nation": table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey"),
+        "customer": customer,
+        "account": customer.select("c_custkey"),
+        "orders": table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"),
+        "lineitem": table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line")),
+    }
+    closed = table(spark, sf_dir, "events", "user_id", "event_type", "ts").filter("event_type = 'error'").select("user_id", "ts")
+    return cascade(tables, SALES_REFERENCES, {"account": closed}, "user_id", "ts").select("ref_table", "ref_id", "kind").distinct()

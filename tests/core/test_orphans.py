@@ -55,3 +55,37 @@ def test_cascade_with_a_cycle_ends(spark):
     t = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "9"), ("4", "5"), ("5", "4")], "id string, up string")
     found = o.cascade({"t": t}, [o.Reference("t", "id", "up", None, "t", "id")])
     assert {(r["ref_id"], r["kind"]) for r in found.collect()} == {("3", "direct"), ("2", "inherited"), ("1", "inherited")}
+
+
+def test_cascade_by_another_key_than_the_id(spark):
+    pages = spark.createDataFrame([("p1", "gone", "gone:1"), ("p2", "d", " D:1"), ("p3", None, "d:2")], "page_id string, doc string, place string")
+    spans = spark.createDataFrame([("s1", "GONE:1"), ("s2", "d:1"), ("s3", "d:9"), ("p1", "d:2")], "span string, place string")
+    refs = [o.Reference("pages", "page_id", "doc", None, "docs", "doc"), o.Reference("spans", "span", "place", None, "pages", "place")]
+    found = o.cascade({"docs": spark.createDataFrame([("d",)], "doc string"), "pages": pages, "spans": spans}, refs)
+    assert {(r["ref_table"], r["ref_id"], r["kind"]) for r in found.collect()} == {("pages", "p1", "direct"), ("spans", "s3", "direct"), ("spans", "s1", "inherited")}
+
+
+def test_hot_keys_are_dealt_out(spark):
+    rows = o.referring_rows(spark.createDataFrame([(str(i), "Hot" if i % 4 else f"k{i}") for i in range(80)], "id string, up string"), "id", "up", None)
+    hot = o.hot_keys(rows, 20)
+    assert {(r["key"], r["pieces"]) for r in hot.collect()} == {("hot", 3)}
+    keys = spark.createDataFrame([("hot",), ("k4",)], "key string")
+    assert o.dealt_join(rows, keys, hot, "left_semi").count() == 61 and o.dealt_join(rows, keys, hot, "left").count() == 80
+    assert o.dealt_join(rows, keys, hot, "left").columns == ["key", "ref_id", "at"]
+
+
+def test_dealing_changes_no_result(spark):
+    up = [(f"{level}{i}", f"{'abc'['bcd'.index(level)]}{i % 3}") for level in "bcd" for i in range(12)]
+    tables = {t: spark.createDataFrame([u for u in up if u[0][0] == t], "id string, up string") for t in "bcd"} | {"a": spark.createDataFrame([("a0",), ("a1",)], "id string")}
+    refs = [o.Reference(t, "id", "up", None, "abc"["bcd".index(t)], "id") for t in "bcd"]
+    want = {("b", f"b{i}", "direct") for i in (2, 5, 8, 11)} | {(t, f"{t}{i}", "inherited") for t in "cd" for i in (2, 5, 8, 11)}
+    for piece_rows in (1, 3, o.PIECE_ROWS):
+        got = [(r["ref_table"], r["ref_id"], r["kind"]) for r in o.cascade(tables, refs, piece_rows=piece_rows).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_registered_query_has_inherited_orphans_on_two_levels(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["p4_inherited"](spark, "/root/testdata/sf0.001").groupBy("ref_table", "kind").count().collect()
+    assert {(r["ref_table"], r["kind"]) for r in rows} == {("customer", "direct"), ("orders", "inherited"), ("lineitem", "inherited")}
